@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from fieldspark.llm import linededup, quality
+import corpus_pipeline
+from fieldspark.llm import bpe, chat, decontaminate, linededup, quality, simhash, tokencounts
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": linededup.query,
+        "op2_token_counts": tokencounts.query,
+        "op3_benchmark_decontamination": decontaminate.query,
         "op4_quality_rules": quality.query,
+        "op5_chat_formatting": chat.query,
+        "op7_byte_bpe": bpe.query,
+        "op8_simhash_near_dedup": simhash.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.SQL, "op4_quality_rules": quality.SQL}
+    return {"op1_line_dedup": linededup.SQL, "op4_quality_rules": quality.SQL, "op5_chat_formatting": chat.SQL}
