@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fieldspark.llm import bpe, chat, decontaminate, linededup, quality, simhash, tokencounts
+from fieldspark.llm import bpe, chat, decontaminate, linededup, passages, quality, simhash, tokencounts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_benchmark_decontamination": decontaminate.query,
         "op4_quality_rules": quality.query,
         "op5_chat_formatting": chat.query,
+        "op6_substring_dedup": passages.query,
         "op7_byte_bpe": bpe.query,
         "op8_simhash_near_dedup": simhash.query,
         "pipeline": corpus_pipeline.run,
