@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fieldspark.llm import bpe, chat, decontaminate, linededup, passages, quality, simhash, tokencounts
+from fieldspark.llm import bpe, chat, decontaminate, langid, licenses, linededup, passages, quality, simhash, tokencounts
 
 
 def queries() -> dict:
@@ -16,6 +16,8 @@ def queries() -> dict:
         "op6_substring_dedup": passages.query,
         "op7_byte_bpe": bpe.query,
         "op8_simhash_near_dedup": simhash.query,
+        "op9_license_scans": licenses.query,
+        "op10_language_id": langid.query,
         "pipeline": corpus_pipeline.run,
     }
 
