@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from fieldspark.queries import merges, segments
+
+MODULES = (segments, merges)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
