@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldspark.queries import merges, segments
+from fieldspark.queries import merges, runs, schemas, segments
 
-MODULES = (segments, merges)
+MODULES = (segments, merges, schemas, runs)
 
 
 def queries() -> dict:

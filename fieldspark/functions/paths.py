@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def json_path(path: str) -> str:
     return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in path.split("."))
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn names it; a plain Column would be copied to each place."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def value_at(record: Column, path: str) -> Column:
     """JSON text of the value at a path of a VARIANT; null if a step is missing or isn't an object."""
     return F.to_json(F.try_variant_get(record, json_path(path), "variant"))

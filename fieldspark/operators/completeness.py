@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldspark.functions.emptiness import empty_placeholder
-from fieldspark.functions.paths import value_at
+from fieldspark.functions.paths import bound, value_at
 
 HINTS = (r"(?i)\bpages?\s+(\d+)\s*-\s*\d+", r"(?i)\bpages\s+\d+\s*-\s*(\d+)", r"(?i)\bpage\s+(\d+)")
 MARKER = r"---\s*PAGE\s+(\d+)\s*(?:\(OCR\)\s*)?---"
@@ -21,8 +21,8 @@ def missing_fields(record: Column, leaves: list[str], countable: list[str] | Non
     none = F.array().cast("array<string>")
     if not leaves:
         return none
-    gone = F.filter(F.array(*[F.when(empty_placeholder(value_at(record, p)), F.lit(p)) for p in leaves]), lambda p: p.isNotNull())
-    return F.when(F.size(gone) / F.lit(len(countable or leaves)) > threshold, gone).otherwise(none)
+    gone = bound(record, lambda r: F.filter(F.array(*[F.when(empty_placeholder(value_at(r, p)), F.lit(p)) for p in leaves]), lambda p: p.isNotNull()))
+    return bound(gone, lambda g: F.when(F.size(g) / F.lit(len(countable or leaves)) > threshold, g).otherwise(none))
 
 
 def array_instances(is_array: Column, pages: Column) -> Column:

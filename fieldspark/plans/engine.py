@@ -138,7 +138,7 @@ class Engine:
             return self._passes(chunks, asked, request, doc)
         calls = self._calls(chunks, [doc, "chunk_id"], part, request)
         merged = self._merged(calls, asked, doc)
-        found = record(merged, [doc])
+        found = self._records(merged, calls, doc)
         if self.config.adaptive:
             found, more = self._second(chunks, found, asked, request, doc)
             calls = calls.unionByName(more)
@@ -150,6 +150,10 @@ class Engine:
         fields = top_fields(calls.where("error IS NULL"), [doc, "chunk_id"], schema)
         return merge.merge_chunks(fields, [doc, "path"], "chunk_id")
 
+    def _records(self, fields: DataFrame, calls: DataFrame, doc: str) -> DataFrame:
+        """(doc, data): one record for each document that was asked about, empty if nothing was found."""
+        return calls.select(doc).distinct().join(record(fields, [doc]), doc, "left").select(doc, F.coalesce("data", F.lit("{}")).alias("data"))
+
     def _checked(self, found: DataFrame, schema: S.Schema, data: str = "data") -> DataFrame:
         """found with faults: what the schema objects to in the merged record."""
         check = compiled(schema)
@@ -217,7 +221,7 @@ class Engine:
         fields = top_fields(calls.where("error IS NULL"), [doc, "chunk_id", "pass"], schema)
         by_pass = merge.merge_chunks(fields, [doc, "pass", "path"], "chunk_id")
         voted = voting.vote(by_pass, doc, self.config.strategy, "pass", "path")
-        return Result(self._checked(record(voted, [doc]), schema), self._report(calls, doc), calls.where("error IS NOT NULL"))
+        return Result(self._checked(self._records(voted, calls, doc), schema), self._report(calls, doc), calls.where("error IS NOT NULL"))
 
     def extract_by_group(self, docs: DataFrame, schema: S.Schema, prompt: str = "", doc: str = "doc_id", text: str = "text") -> Result:
         """Group after group of the schema's fields, for schemas too wide for one call."""
@@ -229,7 +233,7 @@ class Engine:
         for more, c in zip(fields[1:], parts[1:]):
             rows, calls = rows.unionByName(more), calls.unionByName(c)
         merged = merge.merge_groups(rows.withColumn("round", F.lit(1)), [doc, "path"], "round", "value", "path")
-        return Result(self._checked(record(merged, [doc]), asked), self._report(calls, doc), calls.where("error IS NOT NULL"))
+        return Result(self._checked(self._records(merged, calls, doc), asked), self._report(calls, doc), calls.where("error IS NOT NULL"))
 
     def batch(self, files: DataFrame, schema: Any, prompt: str = "", group: str = "group_id", order: str = "file_ord", path: str = "path", text: str = "text", **how: Any) -> Result:
         """One record for each group of files; group_key, the path of its first file, names it besides."""

@@ -7,7 +7,8 @@ import warnings
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Schema = dict[str, Any]
@@ -130,6 +131,17 @@ def group_of(name: str) -> str:
     return next((g for g, parts in GROUPS if any(p in name.lower() for p in parts.split())), "other")
 
 
+def group_column(name: Column) -> Column:
+    """``group_of`` for a column of names."""
+    out = F.lit("other")
+    for g, parts in reversed(GROUPS):
+        hit = F.lit(False)
+        for p in parts.split():
+            hit = hit | F.lower(name).contains(p)
+        out = F.when(hit, g).otherwise(out)
+    return out
+
+
 def field_groups(schema: Schema, most: int = GROUP_FIELDS) -> dict[str, Schema]:
     """schema by kinds of fields; a group of more than ``most`` fields is cut into numbered ones."""
     by: dict[str, list[str]] = {g: [] for g in [*(g for g, _ in GROUPS), "other"]}

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldspark.functions.emptiness import required_empty
-from fieldspark.functions.paths import value_at
+from fieldspark.functions.paths import bound, value_at
 from fieldspark.plans.schema import Schema, inlined
 
 _NOTES = {"$schema", "$id", "$defs", "$comment", "title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly"}
@@ -130,11 +130,15 @@ def _required_paths(schema: Schema, prefix: str = "") -> Iterator[tuple[str, str
 
 def empty_required_column(record: Column, schema: Schema) -> Column:
     """``empty_required`` of a VARIANT, but for fields inside lists; stays in Catalyst."""
-    checks = []
-    for path, above in _required_paths(inlined(schema)):
-        there = F.lit(True) if not above else F.coalesce(value_at(record, above).startswith("{"), F.lit(False))
-        checks.append(F.when(there & required_empty(value_at(record, path)), F.lit(path)))
-    return F.filter(F.array(*checks), lambda p: p.isNotNull()) if checks else F.array().cast("array<string>")
+
+    def checks(r: Column) -> Column:
+        out = [F.lit(None).cast("string")]
+        for path, above in _required_paths(inlined(schema)):
+            there = F.lit(True) if not above else F.coalesce(value_at(r, above).startswith("{"), F.lit(False))
+            out.append(F.when(there & required_empty(value_at(r, path)), F.lit(path)))
+        return F.array(*out)
+
+    return F.filter(bound(record, checks), lambda p: p.isNotNull())
 
 
 _SHAPES = {"string": r'^"', "integer": r"^-?\d+(\.0+)?$", "number": r"^-?\d", "boolean": r"^(true|false)$", "null": r"^null$", "array": r"^\[", "object": r"^\{"}
@@ -146,7 +150,14 @@ def error_column(record: Column, schema: Schema) -> Column:
 
     Patterns are Java's.
     """
-    out: list[Column] = []
+    root = inlined(schema)
+    found = bound(record, lambda r: _errors(r, root))
+    return F.filter(found, lambda e: e.isNotNull())
+
+
+def _errors(record: Column, root: Schema) -> Column:
+    """array<string> with a null for each test that passes."""
+    out: list[Column] = [F.lit(None).cast("string")]
 
     def walk(node: Schema, path: str) -> None:
         if unknown := set(node) - _COLUMN_WORDS:
@@ -172,5 +183,5 @@ def error_column(record: Column, schema: Schema) -> Column:
         for name, inner in node.get("properties", {}).items():
             walk(inner, f"{path}.{name}")
 
-    walk(inlined(schema), "")
-    return F.filter(F.array(*out), lambda e: e.isNotNull()) if out else F.array().cast("array<string>")
+    walk(root, "")
+    return F.array(*out)

@@ -212,15 +212,15 @@ SELECT conv_id, turn, e AS empty_strict, e OR v = '" \\t"' AS empty_blank, e OR
 
 
 def citation(spark: SparkSession, sf: str) -> DataFrame:
-    """The second word of each turn, in capitals, cited from the turn."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.upper(F.split_part("text", F.lit(" "), F.lit(2))).alias("value"))
+    """The second word of each turn, in lower case, cited from the turn."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("value"))
     return turns.select("conv_id", "turn", provenance.citation(F.col("text"), F.col("value"), 30).alias("citation"))
 
 
 CITATION = r"""
-WITH v AS (SELECT conv_id, turn, text, upper(split_part(text, ' ', 2)) AS value FROM conversations),
-p AS (SELECT *, strpos(lower(text), lower(value)) AS at FROM v), q AS (SELECT *, greatest(1, at - 30) AS b, least(length(text), at - 1 + length(value) + 30) AS e FROM p)
-SELECT conv_id, turn, CASE WHEN at > 0 AND value <> '' THEN trim(regexp_replace(CASE WHEN b > 1 THEN '...' ELSE '' END || substr(text, b, e - b + 1) || CASE WHEN e < length(text) THEN '...' ELSE '' END, '\s+', ' ', 'g')) END AS citation FROM q
+WITH v AS (SELECT conv_id, turn, text, lower(split_part(text, ' ', 2)) AS value FROM conversations),
+p AS (SELECT *, strpos(lower(text), lower(value)) AS pos FROM v), q AS (SELECT *, greatest(1, pos - 30) AS b, least(length(text), pos - 1 + length(value) + 30) AS e FROM p)
+SELECT conv_id, turn, CASE WHEN pos > 0 AND value <> '' THEN trim(regexp_replace(CASE WHEN b > 1 THEN '...' ELSE '' END || substr(text, b, e - b + 1) || CASE WHEN e < length(text) THEN '...' ELSE '' END, '\s+', ' ', 'g')) END AS citation FROM q
 """
 
 
