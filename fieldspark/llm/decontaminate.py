@@ -7,6 +7,7 @@ algorithm verifies the passage around each hit.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -138,21 +139,22 @@ def item_chunks(benchmark: DataFrame, item_id: str, text: str, min_chars: int, c
     yield chunk
 
 
-_matchers: dict[object, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
-def _matcher(shared: object, rate: float) -> Matcher:
-    """The automaton, built once in each Python worker."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), rate, len(shared.value))
-    if key not in _matchers:
+def _matcher(name: str, shared: object, rate: float) -> Matcher:
+    """The automaton of that name, built once in each Python worker."""
+    if name not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(shared.value, rate)
-    return _matchers[key]
+        _matchers[name] = Matcher(shared.value, rate)
+    return _matchers[name]
 
 
 def _hits(shared: object, rate: float):
+    name = uuid.uuid4().hex  # an object's address may come again in a worker
+
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared, rate)
+        matcher = _matcher(name, shared, rate)
         for batch in batches:
             out = []
             for text, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -165,8 +167,10 @@ def _hits(shared: object, rate: float):
 
 
 def _clean(shared: object, rate: float, at: int):
+    name = uuid.uuid4().hex
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared, rate)
+        matcher = _matcher(name, shared, rate)
         for batch in batches:
             yield batch.filter(pa.array([t is None or not matcher.find(normalised(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
