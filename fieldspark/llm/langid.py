@@ -268,9 +268,6 @@ class Labeller:
         return out
 
 
-_labellers: dict[object, Labeller] = {}
-
-
 def _labelled(shared: object, switch: float, clip: float):
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value, switch, clip)
