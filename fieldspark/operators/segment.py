@@ -55,10 +55,9 @@ def sentences(text: Column, lossy: bool = False) -> Column:
     """array<string>: cut after . ! or ? before white space, and after blank lines; the rest is the last one."""
     if not lossy:
         return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1))
-    rest = F.regexp_replace(text, r"(?s)\A.*[.!?]", "")
-    # without the tail after the last stop but its first sign, in which the search would start in vain at each place
-    head = F.left(text, F.length(text) - F.length(F.regexp_replace(rest, r"(?s)(?U)\A\s*.?", "")))
-    found = F.regexp_extract_all(head, F.lit(LOSSY_SENTENCE), F.lit(1))
+    # the tail after the last sentence; a search would start in vain at each of its places
+    rest = F.regexp_replace(text, r"(?s)(?U)\A.*[.!?](?:\s+|\z)", "")
+    found = F.regexp_extract_all(F.left(text, F.length(text) - F.length(rest)), F.lit(LOSSY_SENTENCE), F.lit(1))
     return F.when(rest.rlike(r"(?U)\S"), F.concat(found, F.array(rest))).otherwise(found)
 
 
@@ -81,9 +80,9 @@ def packed(parts: Column, size: int) -> Column:
 def split_sentences(text: str, lossy: bool = False) -> list[str]:
     if not lossy:
         return _SENTENCE.findall(text)
-    found = _LOSSY.findall(text)
-    rest = re.search(r"[^.!?]*\Z", text).group()
-    return [*found, rest] if rest.strip() else found
+    found = [*_LOSSY.finditer(text)]
+    rest = text[found[-1].end() if found else 0 :]
+    return [m.group() for m in found] + ([rest] if rest.strip() else [])
 
 
 def pack_text(text: str, size: int, newlines: bool = False, lossy: bool = False) -> list[tuple[str, int, int, int]]:

@@ -31,6 +31,8 @@ from fieldspark.plans.extractors import Extractor, RuleExtractor, ask
 from fieldspark.plans.validate import compiled, empty_required, pruned
 
 _ERROR = pa.struct([("type", pa.string()), ("message", pa.string()), ("traceback", pa.string()), ("item", pa.string())])
+#: The documents' key inside a run; no name of the caller's can clash with those used here.
+_ID = "_id"
 _SUMS = ("requests", "tool_calls", "input_tokens", "output_tokens")
 _CALL = "data string, requests long, tool_calls long, input_tokens long, output_tokens long, attempts int, rounds int, warnings array<string>, error " + ERROR
 
@@ -94,6 +96,10 @@ class Result:
     errors: DataFrame
     provenance: DataFrame | None = None
 
+    def renamed(self, doc: str) -> Result:
+        """With the documents' key under its own name."""
+        return Result(*[x if x is None else x.withColumnRenamed(_ID, doc) for x in (self.data, self.report, self.errors, self.provenance)])
+
 
 @dataclass
 class Engine:
@@ -128,6 +134,11 @@ class Engine:
         A root array: items of all chunks, without repeats. Otherwise chunks are merged field by field;
         with ``adaptive`` a second pass asks for what is missing, and with ``multipass`` passes are put to the vote.
         """
+        inner = docs.select(F.col(doc).alias(_ID), F.col(text).alias("text"))
+        return self._extract(inner, schema, prompt, examples, extra, least).renamed(doc)
+
+    def _extract(self, docs: DataFrame, schema: Any, prompt: str, examples: list | None, extra: bool, least: int) -> Result:
+        doc, text = _ID, "text"
         asked = S.output_schema(schema, extra)
         request = prompts.full_prompt(prompt, examples)
         chunks = self.chunks(docs, doc, asked, request, text, least)
@@ -226,14 +237,15 @@ class Engine:
     def extract_by_group(self, docs: DataFrame, schema: S.Schema, prompt: str = "", doc: str = "doc_id", text: str = "text") -> Result:
         """Group after group of the schema's fields, for schemas too wide for one call."""
         asked = S.output_schema(schema)
-        chunks = self.chunks(docs, doc, asked, prompt, text)
+        chunks = self.chunks(docs.select(F.col(doc).alias(_ID), F.col(text).alias("text")), _ID, asked, prompt)
+        key, doc = doc, _ID
         parts = [self._calls(chunks, [doc, "chunk_id"], S.optional(g), prompt) for g in S.field_groups(asked).values()]
         fields = [self._merged(c, g, doc) for c, g in zip(parts, S.field_groups(asked).values())]
         rows, calls = fields[0], parts[0]
         for more, c in zip(fields[1:], parts[1:]):
             rows, calls = rows.unionByName(more), calls.unionByName(c)
         merged = merge.merge_groups(rows.withColumn("round", F.lit(1)), [doc, "path"], "round", "value", "path")
-        return Result(self._checked(self._records(merged, calls, doc), asked), self._report(calls, doc), calls.where("error IS NOT NULL"))
+        return Result(self._checked(self._records(merged, calls, doc), asked), self._report(calls, doc), calls.where("error IS NOT NULL")).renamed(key)
 
     def batch(self, files: DataFrame, schema: Any, prompt: str = "", group: str = "group_id", order: str = "file_ord", path: str = "path", text: str = "text", **how: Any) -> Result:
         """One record for each group of files; group_key, the path of its first file, names it besides."""

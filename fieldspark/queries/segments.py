@@ -49,7 +49,7 @@ def sentences_regex(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SENTENCES_REGEX = r"""
-WITH s AS (SELECT doc_id, regexp_extract_all(text, '([^.!?]*[.!?]+(?:\s+|$))', 1) AS a, regexp_extract(text, '([^.!?]*)$', 1) AS rest FROM documents),
+WITH s AS (SELECT doc_id, regexp_extract_all(text, '([^.!?]*[.!?]+(?:\s+|$))', 1) AS a, regexp_replace(text, '(?s)^.*[.!?](\s+|$)', '') AS rest FROM documents),
 t AS (SELECT doc_id, CASE WHEN regexp_matches(rest, '\S') THEN list_append(a, rest) ELSE a END AS s FROM s)
 SELECT doc_id, unnest(range(len(s)))::INT AS ord, unnest(s) AS sentence FROM t
 """
