@@ -156,32 +156,36 @@ def error_column(record: Column, schema: Schema) -> Column:
 
 
 def _errors(record: Column, root: Schema) -> Column:
-    """array<string> with a null for each test that passes."""
-    out: list[Column] = [F.lit(None).cast("string")]
+    """array<string> with a null for each test that passes; each field is looked up once for all its tests."""
+    parts: list[Column] = [F.array(F.lit(None).cast("string"))]
 
     def walk(node: Schema, path: str) -> None:
         if unknown := set(node) - _COLUMN_WORDS:
             raise ValueError(f"${path}: no Column form for {sorted(unknown)}; use compiled()")
-        v = value_at(record, path[1:]) if path else F.to_json(record)
-        there, at = v.isNotNull(), f"${path}: "
-        typed = F.lit(True)
-        if kinds := _kinds(node):
-            typed = v.rlike("|".join(_SHAPES[k] for k in kinds))
-            out.append(F.when(there & ~typed, F.lit(f"{at}not of type {' or '.join(kinds)}")))
-        text = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
-        string, number = v.startswith('"'), v.rlike(_SHAPES["number"])
-        amount = F.when(number, v).try_cast("double")
-        tests = {"minimum": lambda x: number & (amount < x), "maximum": lambda x: number & (amount > x), "minLength": lambda x: string & (F.length(text) < x), "maxLength": lambda x: string & (F.length(text) > x), "pattern": lambda x: string & ~text.rlike(x)}
-        for word, broken in tests.items():
-            if word in node:
-                out.append(F.when(there & typed & broken(node[word]), F.lit(f"{at}violates {word} {node[word]!r}")))
-        if "enum" in node:
-            out.append(F.when(there & typed & ~v.isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in node["enum"]]), F.lit(f"{at}not one of the listed values")))
-        is_object = F.coalesce(v.startswith("{"), F.lit(False))
-        for name in node.get("required", []):
-            out.append(F.when(is_object & value_at(record, f"{path}.{name}"[1:]).isNull(), F.lit(f"${path}.{name}: required")))
+        value = value_at(record, path[1:]) if path else F.to_json(record)
+        parts.append(bound(value, lambda v: _field_errors(v, node, f"${path}")))
+        if need := node.get("required", []):
+            gone = lambda v: F.array(*[F.when(v.startswith("{") & value_at(record, f"{path}.{k}"[1:]).isNull(), F.lit(f"${path}.{k}: required")) for k in need])
+            parts.append(bound(F.coalesce(value, F.lit("")), gone))
         for name, inner in node.get("properties", {}).items():
             walk(inner, f"{path}.{name}")
 
     walk(root, "")
+    return F.flatten(F.array(*parts))
+
+
+def _field_errors(v: Column, node: Schema, path: str) -> Column:
+    there, typed, out = v.isNotNull(), F.lit(True), [F.lit(None).cast("string")]
+    if kinds := _kinds(node):
+        typed = v.rlike("|".join(_SHAPES[k] for k in kinds))
+        out.append(F.when(there & ~typed, F.lit(f"{path}: not of type {' or '.join(kinds)}")))
+    text = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
+    string, number = v.startswith('"'), v.rlike(_SHAPES["number"])
+    amount = F.when(number, v).try_cast("double")
+    tests = {"minimum": lambda x: number & (amount < x), "maximum": lambda x: number & (amount > x), "minLength": lambda x: string & (F.length(text) < x), "maxLength": lambda x: string & (F.length(text) > x), "pattern": lambda x: string & ~text.rlike(x)}
+    for word, broken in tests.items():
+        if word in node:
+            out.append(F.when(there & typed & broken(node[word]), F.lit(f"{path}: violates {word} {node[word]!r}")))
+    if "enum" in node:
+        out.append(F.when(there & typed & ~v.isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in node["enum"]]), F.lit(f"{path}: not one of the listed values")))
     return F.array(*out)

@@ -97,18 +97,18 @@ def validation_errors(spark: SparkSession, sf: str) -> DataFrame:
     record = F.struct(status.alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
     merged = with_value(F.to_json(record), "id", F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit('"'), key, F.lit('"'))).otherwise(key))
     found = error_column(F.parse_json(merged), ORDER)
-    return o.select("o_orderkey", F.array_join(found, "; ").alias("errors"))
+    return o.select("o_orderkey", F.array_join(F.array_sort(found), "; ").alias("errors"))
 
 
 VALIDATION_ERRORS = """
 WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status, o_totalprice AS price, o_orderpriority AS priority FROM orders)
-SELECT o_orderkey, array_to_string(list_filter([
+SELECT o_orderkey, array_to_string(list_sort(list_filter([
   CASE WHEN status IS NULL THEN '$.status: required' END,
   CASE WHEN o_orderkey % 7 = 0 THEN '$.id: not of type integer' END,
   CASE WHEN status NOT IN ('O', 'F') THEN '$.status: not one of the listed values' END,
   CASE WHEN price < 1000 THEN '$.price: violates minimum 1000' END, CASE WHEN price > 300000 THEN '$.price: violates maximum 300000' END,
   CASE WHEN length(priority) > 8 THEN '$.priority: violates maxLength 8' END, CASE WHEN NOT regexp_matches(priority, '^[1-5]') THEN '$.priority: violates pattern ''^[1-5]''' END
-], lambda e: e IS NOT NULL), '; ') AS errors FROM o
+], lambda e: e IS NOT NULL)), '; ') AS errors FROM o
 """
 
 
