@@ -1,9 +1,9 @@
 """Operator 6, substring dedup: paragraph MinHash banding.
 
-A paragraph is a line of enough words. Equal paragraphs are brought together by a hash of their words.
-Distinct paragraphs are banded by MinHash over word triples, those that collide in a band are joined, the
-exact Jaccard similarity of their triples is verified, and the components of verified pairs are groups of
-which the first paragraph stays.
+A paragraph is a line of enough words or, from each shorter line on, as many lines as make up enough words.
+Equal paragraphs are brought together by a hash of their words. Distinct lines are banded by MinHash over
+word triples, those that collide in a band are joined, the exact Jaccard similarity of their triples is
+verified, and the components of verified pairs are groups of which the first paragraph stays.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.shared import LOWER, as_bytes, checkpointed, col, components, groups_of, joined, mix, read, signed, slices, span_hashes, word_spans
 
-#: Lines of fewer words are no paragraphs.
+#: Words of a paragraph, at least. A passage of twice as many words, of whole lines, always holds one.
 MIN_WORDS = 25
 #: Words in a shingle.
 SHINGLE = 3
@@ -53,7 +53,7 @@ def _sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 class Paragraphs:
-    """The paragraphs of some texts: row of the text, line number, words, hash; and the hashes of their shingles."""
+    """The paragraphs of some texts: row of the text, first line, lines, words, hash; and the hashes of the shingles of single lines."""
 
     def __init__(self, texts: list[bytes], min_words: int, shingle: int):
         buf, begin, end = joined(texts)
@@ -63,23 +63,33 @@ class Paragraphs:
         words = span_hashes(buf, starts, ends)
         line_of = np.searchsorted(breaks, starts)
         first = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]]) if len(starts) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[first, len(starts)])
-        first, count = first[count >= min_words], count[count >= min_words]
-        self.row = np.searchsorted(end, starts[first], side="right")
-        self.at = line_of[first] - np.searchsorted(breaks, begin)[self.row]
-        self.words = count
-        self.key = _sequence_hashes(words, first, first + count)
-        size = np.maximum(count - shingle + 1, 1)
+        stop = np.r_[first[1:], len(starts)].astype(np.int64)[: len(first)]
+        text = np.searchsorted(end, starts[first], side="right")
+        # the line that holds the last word that is needed ends the paragraph
+        need = first + min_words - 1
+        last = np.searchsorted(stop, np.minimum(need, len(starts) - 1), side="right")
+        keep = need < len(starts)
+        keep[keep] = text[last[keep]] == text[keep]
+        at, last = np.flatnonzero(keep), last[keep]
+        self.row = text[at]
+        number = line_of[first]
+        self.at = number[at] - np.searchsorted(breaks, begin)[self.row]
+        self.lines = number[last] - number[at] + 1
+        self.words = stop[last] - first[at]
+        self.key = _sequence_hashes(words, first[at], stop[last])
+        self.single = np.flatnonzero(at == last)
+        from_, to = first[at][self.single], stop[last][self.single]
+        size = np.maximum(to - from_ - shingle + 1, 1)
         self.ends = np.cumsum(size)
-        where = np.repeat(first - (self.ends - size), size) + np.arange(self.ends[-1] if len(size) else 0)
-        self.shingles = _sequence_hashes(words, where, np.minimum(where + shingle, np.repeat(first + count, size)))
+        where = np.repeat(from_ - (self.ends - size), size) + np.arange(self.ends[-1] if len(size) else 0)
+        self.shingles = _sequence_hashes(words, where, np.minimum(where + shingle, np.repeat(to, size)))
 
     def band_keys(self, count: int, rows: int) -> np.ndarray:
-        """(paragraphs, count) hashes of the bands."""
-        out = np.zeros((len(self.key), count), np.uint64)
+        """(single lines, count) hashes of the bands."""
+        out = np.zeros((len(self.single), count), np.uint64)
         starts = np.r_[0, self.ends[:-1]]
         for b in range(count):
-            h = np.full(len(self.key), b + 1, np.uint64)
+            h = np.full(len(self.single), b + 1, np.uint64)
             for r in range(rows):
                 h = mix(h * np.uint64(_STEP) + np.minimum.reduceat(self.shingles * _FACTORS[b * rows + r], starts))
             out[:, b] = h
@@ -93,7 +103,7 @@ def _found(min_words: int, shingle: int):
             for i, j in slices(raw):
                 p = Paragraphs(raw[i:j], min_words, shingle)
                 rest = batch.slice(i, j - i).take(pa.array(p.row))
-                yield pa.RecordBatch.from_arrays([signed(p.key), rest.column(1), rest.column(2), pa.array(p.at.astype(np.int32)), pa.array(p.words.astype(np.int32))], ["key", "doc", "body", "at", "words"])
+                yield pa.RecordBatch.from_arrays([signed(p.key), rest.column(1), rest.column(2), *[pa.array(x.astype(np.int32)) for x in (p.at, p.lines, p.words)]], ["key", "doc", "body", "at", "lines", "words"])
 
     return found
 
@@ -104,10 +114,10 @@ def _banded(min_words: int, shingle: int, count: int, rows: int):
             raw = as_bytes(batch.column(0))
             for i, j in slices(raw):
                 p = Paragraphs(raw[i:j], min_words, shingle)
-                if len(p.key):
-                    _, one = np.unique(p.key, return_index=True)
+                if len(p.single):
+                    names, one = np.unique(p.key[p.single], return_index=True)
                     keys = p.band_keys(count, rows)[one]
-                    yield pa.RecordBatch.from_arrays([signed(keys.ravel()), signed(np.repeat(p.key[one], count))], ["band", "key"])
+                    yield pa.RecordBatch.from_arrays([signed(keys.ravel()), signed(np.repeat(names, count))], ["band", "key"])
 
     return banded
 
@@ -135,14 +145,14 @@ def _sets(min_words: int, shingle: int, wanted: object | None):
             raw = as_bytes(batch.column(0))
             for i, j in slices(raw):
                 p = Paragraphs(raw[i:j], min_words, shingle)
-                keys, one = np.unique(p.key.view(np.int64), return_index=True)
+                keys, one = np.unique(p.key[p.single].view(np.int64), return_index=True)
                 if names is not None:
                     at = np.minimum(np.searchsorted(names, keys), max(len(names) - 1, 0))
                     one = one[names[at] == keys] if len(names) else one[:0]
                 out = []
                 starts = np.r_[0, p.ends[:-1]]
                 for n in one.tolist():
-                    key = int(p.key[n].view(np.int64))
+                    key = int(p.key[p.single[n]].view(np.int64))
                     if key not in done:
                         if names is not None:
                             done.add(key)
@@ -219,21 +229,24 @@ def near_edges(docs: DataFrame, min_words: int, shingle: int, threshold: float,
 def repeated_paragraphs(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, shingle: int = SHINGLE, min_jaccard: float = MIN_JACCARD, rows: int = BAND_ROWS, recall: float = RECALL, broadcast_ids: int = BROADCAST_IDS
 ) -> DataFrame:
-    """(doc, body, at, words, keep_doc, keep_body, keep_at): every paragraph that goes, and the one of its group that stays.
+    """(doc, body, at, lines, words, keep_doc, keep_body, keep_at): every paragraph that goes, and the one of its group that stays.
 
     A paragraph is a line of at least ``min_words`` words (runs without ASCII white space; ASCII letters
-    in lower case). Two are copies if the Jaccard similarity of their sets of ``shingle`` words in a row
-    is at least ``min_jaccard``; groups are the components of that relation over the pairs that banding
-    brings together, and the first of a group by (doc_id, text hash, line) stays, null ids first.
-    Equal paragraphs always meet; others meet with the probability 1 - (1 - j^rows)^bands(), which
-    is ``recall`` at the threshold and rises to 0.99 at 0.6. Nothing less similar is ever paired.
-
-    Nulls and empty texts have no paragraphs; neither do texts of short lines. Rows that repeat both id
+    in lower case); a shorter line begins one with the fewest lines after it that make up as many words.
+    So any repeated passage of whole lines and 2 min_words words holds one, whatever stands around it.
+    Paragraphs with the same words are copies, and so are two lines if the Jaccard similarity of their sets
+    of ``shingle`` words in a row is at least ``min_jaccard``. Groups are the components of that relation
+    over the pairs that banding brings together, and the first of a group by (doc_id, text hash, line)
+    stays, null ids first. Equal paragraphs always meet; other lines meet with the probability
+    1 - (1 - j^rows)^bands(), which is ``recall`` at the threshold and rises to 0.99 at 0.6. Nothing less
+    similar is ever paired.
+
+    Nulls and empty texts have no paragraphs; neither have texts of fewer words. Rows that repeat both id
     and text are one document; rows that share an id but not a text are two. Copies within one
-    document count. An empty table gives no rows. Only the named columns are read.
+    document count, overlapping ones too. An empty table gives no rows. Only the named columns are read.
     """
     docs = df.select(col(text).cast("string").alias("text"), col(doc_id).cast("bigint").alias("doc"), F.xxhash64(col(text).cast("string")).alias("body"))
-    found = docs.mapInArrow(_found(min_words, shingle), "key bigint, doc bigint, body bigint, at int, words int")
+    found = docs.mapInArrow(_found(min_words, shingle), "key bigint, doc bigint, body bigint, at int, lines int, words int")
     roots = components(near_edges(docs, min_words, shingle, min_jaccard, rows, recall, broadcast_ids))
     place = F.struct("doc", "body", "at")
     # a paragraph that was met once, without near copies, leaves here
@@ -243,16 +256,16 @@ def repeated_paragraphs(
     keep = keys.groupBy("root").agg(F.min("least").alias("keep"))
     member = keys.join(keep, "root").select("key", "keep")
     out = found.join(member.hint("shuffle_hash"), "key").where(~F.struct("doc", "body", "at").eqNullSafe(F.col("keep")))
-    return out.select("doc", "body", "at", "words", F.col("keep.doc").alias("keep_doc"), F.col("keep.body").alias("keep_body"), F.col("keep.at").alias("keep_at")).distinct()
+    return out.select("doc", "body", "at", "lines", "words", F.col("keep.doc").alias("keep_doc"), F.col("keep.body").alias("keep_body"), F.col("keep.at").alias("keep_at")).distinct()
 
 
 def dedup_paragraphs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars", **how: object) -> DataFrame:
-    """df without the paragraphs that ``repeated_paragraphs`` names; documents of which no line is left go.
+    """df without the lines of the paragraphs that ``repeated_paragraphs`` names; documents of which no line is left go.
 
     Other columns pass through, whatever their names; n_chars is set anew where paragraphs went. Null and
     empty texts stay.
     """
-    gone = repeated_paragraphs(df, text, doc_id, **how).groupBy("doc", "body").agg(F.collect_set("at").alias("gone"))
+    gone = repeated_paragraphs(df, text, doc_id, **how).select("doc", "body", F.explode(F.sequence("at", F.col("at") + F.col("lines") - 1)).alias("at")).groupBy("doc", "body").agg(F.collect_set("at").alias("gone"))
     names, n = df.columns, len(df.columns)
     t, d = names.index(text), names.index(doc_id)
     plain = df.toDF(*[f"c{i}" for i in range(n)])
@@ -268,5 +281,5 @@ def dedup_paragraphs(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line, words, copy_of, copy_line): every repeated paragraph, and the one that stays."""
-    return repeated_paragraphs(read(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), F.col("at").alias("line"), "words", F.col("keep_doc").alias("copy_of"), F.col("keep_at").alias("copy_line"))
+    """(doc_id, line, lines, words, copy_of, copy_line): every repeated paragraph, and the one that stays."""
+    return repeated_paragraphs(read(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), F.col("at").alias("line"), "lines", "words", F.col("keep_doc").alias("copy_of"), F.col("keep_at").alias("copy_line"))

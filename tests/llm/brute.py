@@ -91,12 +91,17 @@ def paragraph_groups(docs: list[tuple[int, str]], min_words: int, shingle: int,
     """(doc, line, kept doc, kept line) of (doc_id, text), ids unique."""
     found = []
     for d, text in sorted(docs):
-        for i, line in enumerate(text.split("\n")):
-            w = words(line)
-            if len(w) >= min_words:
-                found.append((d, i, {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}))
-    holders, pairs = defaultdict(list), []
-    for n, (_, _, s) in enumerate(found):
+        lines = [words(x) for x in text.split("\n")]
+        for i, line in enumerate(lines):
+            w, j = list(line), i
+            while w and len(w) < min_words and j + 1 < len(lines):
+                j += 1
+                w += lines[j]
+            if w and len(w) >= min_words:
+                found.append((d, i, {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if i == j else set(), tuple(w)))
+    holders, equal, pairs = defaultdict(list), {}, []
+    for n, (_, _, s, w) in enumerate(found):
+        pairs.append((n, equal.setdefault(w, n)))
         both = Counter(m for g in s for m in holders[g])
         pairs += [(n, m) for m, c in both.items() if c / (len(s) + len(found[m][2]) - c) >= threshold]
         for g in s:

@@ -177,6 +177,15 @@ def test_paragraphs_equal_brute_force(spark, corpus):
     assert len(want) > 60
 
 
+def test_passages_of_short_lines(spark):
+    passage = [" ".join(f"p{k}x{i}" for i in range(17)) for k in range(3)]
+    docs = [(1, "\n".join(["alone one", *passage, "tail"])), (2, "\n".join(["other", "", *passage[:2], "", passage[2], "end"])), (3, passage[0] + "\nnot the rest")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc, r["at"], r.lines, r.words, r.keep_doc, r.keep_at) for r in passages.repeated_paragraphs(df).collect()}
+    assert got == {(2, 2, 2, 34, 1, 1), (2, 3, 3, 34, 1, 2)}
+    assert {r.doc_id: r.text for r in passages.dedup_paragraphs(df).collect()}[2] == "other\n\nend"
+
+
 def test_paragraphs_awkward(awkward, empty):
     got = {(r.doc, r.keep_doc, r["at"]) for r in passages.repeated_paragraphs(awkward).collect()}
     assert got == {(4, None, 0), (5, None, 0)}
