@@ -22,9 +22,9 @@ from fieldspark.llm.shared import as_bytes, col, ragged, read, slices, span_hash
 #: Rank file of the vocabulary: a base64 token and its rank on each line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text encoded at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Merged pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 600_000
 #: Rows of an output batch; arrays of tokens are long.
 OUT_ROWS = 1000
 
