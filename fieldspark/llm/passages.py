@@ -4,6 +4,10 @@ A paragraph is a line of enough words or, from each shorter line on, as many lin
 Equal paragraphs are brought together by a hash of their words. Distinct lines are banded by MinHash over
 word triples, those that collide in a band are joined, the exact Jaccard similarity of their triples is
 verified, and the components of verified pairs are groups of which the first paragraph stays.
+
+What repeats inside longer lines, or across lines that end elsewhere, is found by windows: as many words as a
+paragraph needs, each beginning at an anchor, the least triple of a stretch of words (winnowing). So any
+repeated passage of twice as many words holds a whole window. They are banded by MinHash and verified too.
 """
 
 from __future__ import annotations
@@ -28,9 +32,14 @@ MIN_JACCARD = 0.5
 #: MinHashes in a band, and the recall of banding at exactly the threshold.
 BAND_ROWS = 3
 RECALL = 0.95
+#: MinHashes in a band of windows, besides the anchor that its windows share.
+WINDOW_ROWS = 1
 #: Up to so many colliding paragraphs are named to the executors (8 bytes each); more are joined instead.
 BROADCAST_IDS = 4_000_000
 
+#: Bytes of text whose pieces a task holds at once.
+PIECE_BYTES = 1 << 18
+
 _FACTORS = np.random.default_rng(61).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15 | 1
 _UNSTEP = pow(_STEP, -1, 1 << 64)
@@ -52,10 +61,29 @@ def _sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _anchors(grams: np.ndarray, text: np.ndarray, width: int, words: int) -> np.ndarray:
+    """Where windows of so many words begin: at the last least gram of every ``width`` grams in a row."""
+    if len(grams) < max(width, words):
+        return np.zeros(0, np.int64)
+    low = np.uint64((1 << 24) - 1)
+    least, size = grams & ~low | low - (np.arange(len(grams), dtype=np.uint64) & low), 1
+    while size < width:
+        step = min(size, width - size)
+        least, size = np.minimum(least[:-step], least[step:]), size + step
+    base = np.arange(len(least))
+    at = np.unique(base + ((low - (least & low)).astype(np.int64) - base & int(low)))
+    at = at[at + words <= len(grams)]
+    return at[text[at] == text[at + words - 1]]
+
+
 class Paragraphs:
-    """The paragraphs of some texts: row of the text, first line, lines, words, hash; and the hashes of the shingles of single lines."""
+    """The paragraphs of some texts: row of the text, first line, lines, words, hash; and the hashes of the shingles of single lines.
 
-    def __init__(self, texts: list[bytes], min_words: int, shingle: int):
+    ``whole`` adds the windows after the paragraphs, and the shingles of theirs. ``begin`` is the number of the
+    first word in its text, ``word`` in its line.
+    """
+
+    def __init__(self, texts: list[bytes], min_words: int, shingle: int, whole: bool = False):
         buf, begin, end = joined(texts)
         breaks = np.flatnonzero(buf == 10)
         buf = LOWER[buf]
@@ -78,85 +106,186 @@ class Paragraphs:
         self.words = stop[last] - first[at]
         self.key = _sequence_hashes(words, first[at], stop[last])
         self.single = np.flatnonzero(at == last)
-        from_, to = first[at][self.single], stop[last][self.single]
+        self.paragraphs = len(at)
+        from_, to = first[at], stop[last]
+        opens = first[np.searchsorted(text, np.arange(len(texts)))[self.row]] if len(at) else at
+        self.begin, self.word = from_ - opens, np.zeros(len(at), np.int64)
+        self.near = self.single
+        if whole:
+            of = np.searchsorted(end, starts, side="right")
+            edge = np.arange(len(starts))
+            grams = _sequence_hashes(words, edge, np.minimum(edge + shingle, len(starts)))
+            a = _anchors(grams, of, min_words + 1, min_words)
+            self.anchor = grams[a]
+            lead = np.searchsorted(first, a, side="right") - 1
+            opens = first[np.searchsorted(text, of[a])]
+            for name, more in (("row", of[a]), ("at", line_of[a] - np.searchsorted(breaks, begin)[of[a]]), ("lines", line_of[a + min_words - 1] - line_of[a] + 1), ("words", np.full(len(a), min_words)), ("key", _sequence_hashes(words, a, a + min_words)), ("begin", a - opens), ("word", a - first[lead])):
+                setattr(self, name, np.r_[getattr(self, name), more])
+            from_, to = np.r_[from_, a], np.r_[to, a + min_words]
+            self.near = np.r_[self.single, self.paragraphs + np.arange(len(a))]
+        from_, to = from_[self.near], to[self.near]
         size = np.maximum(to - from_ - shingle + 1, 1)
         self.ends = np.cumsum(size)
         where = np.repeat(from_ - (self.ends - size), size) + np.arange(self.ends[-1] if len(size) else 0)
         self.shingles = _sequence_hashes(words, where, np.minimum(where + shingle, np.repeat(to, size)))
 
-    def band_keys(self, count: int, rows: int) -> np.ndarray:
-        """(single lines, count) hashes of the bands."""
-        out = np.zeros((len(self.single), count), np.uint64)
-        starts = np.r_[0, self.ends[:-1]]
+    def band_keys(self, count: int, rows: int, windows: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the paragraphs that are banded, or of the windows, and (those, count) hashes of their bands."""
+        cut = int((self.near < self.paragraphs).sum())
+        which = self.near[cut:] if windows else self.near[:cut]
+        names, one = np.unique(self.key[which], return_index=True)
+        if not len(which):
+            return names, np.zeros((0, count), np.uint64)
+        base = self.ends[cut - 1] if cut else 0
+        shingles = self.shingles[base:] if windows else self.shingles[:base]
+        starts = np.r_[base, self.ends[cut:-1]] - base if windows else np.r_[0, self.ends[: cut - 1]]
+        out = np.zeros((len(one), count), np.uint64)
         for b in range(count):
-            h = np.full(len(self.single), b + 1, np.uint64)
+            h = np.full(len(which), b + 1, np.uint64) ^ (self.anchor if windows else np.uint64(0))
             for r in range(rows):
-                h = mix(h * np.uint64(_STEP) + np.minimum.reduceat(self.shingles * _FACTORS[b * rows + r], starts))
-            out[:, b] = h
-        return out
+                h = mix(h * np.uint64(_STEP) + np.minimum.reduceat(shingles * _FACTORS[b * rows + r], starts))
+            out[:, b] = h[one]
+        return names, out
+
+
+def _wanted(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which keys are among the names, which are sorted."""
+    if not len(names):
+        return np.zeros(len(keys), bool)
+    return names[np.minimum(np.searchsorted(names, keys), len(names) - 1)] == keys
 
 
-def _found(min_words: int, shingle: int):
+def _found(min_words: int, shingle: int, whole: bool, wanted: object | None):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = as_bytes(batch.column(0))
-            for i, j in slices(raw):
-                p = Paragraphs(raw[i:j], min_words, shingle)
-                rest = batch.slice(i, j - i).take(pa.array(p.row))
-                yield pa.RecordBatch.from_arrays([signed(p.key), rest.column(1), rest.column(2), *[pa.array(x.astype(np.int32)) for x in (p.at, p.lines, p.words)]], ["key", "doc", "body", "at", "lines", "words"])
+            for i, j in slices(raw, PIECE_BYTES):
+                p = Paragraphs(raw[i:j], min_words, shingle, whole)
+                at = np.arange(len(p.key)) if wanted is None else np.flatnonzero(_wanted((p.key >> np.uint64(32)).astype(np.uint32), wanted.value))
+                rest = batch.slice(i, j - i).take(pa.array(p.row[at]))
+                numbers = [pa.array(x[at].astype(np.int32)) for x in (p.begin, p.at, p.word, p.lines, p.words)]
+                yield pa.RecordBatch.from_arrays([signed(p.key[at]), rest.column(1), rest.column(2), *numbers, pa.array(at >= p.paragraphs)], ["key", "doc", "body", "begin", "at", "word", "lines", "words", "window"])
 
     return found
 
 
-def _banded(min_words: int, shingle: int, count: int, rows: int):
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(min_words: int, shingle: int, whole: bool):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, n) of the pieces of each slice."""
         for batch in batches:
             raw = as_bytes(batch.column(0))
-            for i, j in slices(raw):
-                p = Paragraphs(raw[i:j], min_words, shingle)
-                if len(p.single):
-                    names, one = np.unique(p.key[p.single], return_index=True)
-                    keys = p.band_keys(count, rows)[one]
-                    yield pa.RecordBatch.from_arrays([signed(keys.ravel()), signed(np.repeat(names, count))], ["band", "key"])
+            for i, j in slices(raw, PIECE_BYTES):
+                key, n = np.unique(Paragraphs(raw[i:j], min_words, shingle, whole).key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([signed(key), pa.array(n.astype(np.int32))], ["key", "n"])
 
-    return banded
+    return keys
 
 
-def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, key) of each band with several paragraphs; rows come by (band, key). Bands with the same paragraphs name the same bucket."""
-    for table in groups_of(batches, "band"):
-        band, key = table.column("band").to_numpy(), table.column("key").to_numpy()
-        new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
-        band, key = band[new], key[new]
-        first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-        count = np.diff(np.r_[first, len(band)])
-        name = mix(np.add.reduceat(mix(key.view(np.uint64)), first) + count.astype(np.uint64))
-        many = np.repeat(count > 1, count)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([signed(np.repeat(name, count)[many]), pa.array(key[many])], ["bucket", "key"])
+def _banded(min_words: int, shingle: int, count: int, rows: int, parts: int, windows: int):
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(part, pairs): the bands and their keys, packed. A window comes once, with its anchor and 2 bytes of each of its bands."""
+        for batch in batches:
+            raw = as_bytes(batch.column(0))
+            for i, j in slices(raw, PIECE_BYTES):
+                p = Paragraphs(raw[i:j], min_words, shingle, windows > 0)
+                key, band = p.band_keys(count, rows)
+                blobs = _packed(0, parts, band.ravel(), np.repeat(key, count), np.zeros((band.size, 0), np.uint8))
+                if windows:
+                    key, band = p.band_keys(windows, WINDOW_ROWS, True)
+                    one = np.unique(p.key[p.paragraphs :], return_index=True)[1]
+                    more = band.view(np.uint8).reshape(len(key), windows, 8)[:, :, :2].reshape(len(key), 2 * windows)
+                    blobs += _packed(parts, parts, mix(p.anchor[one]), key, more)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["part", "pairs"])
+
+    return banded
 
 
-def _sets(min_words: int, shingle: int, wanted: object | None):
+def _packed(base: int, parts: int, band: np.ndarray, key: np.ndarray, more: np.ndarray) -> list[tuple[int, bytes]]:
+    """(part, records): 5 bytes of a band's hash, 8 of a key and what else belongs to it, by the part that the band falls in."""
+    part = (band >> np.uint64(40)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    out = np.concatenate([band[order].view(np.uint8).reshape(-1, 8)[:, :5], key[order].view(np.uint8).reshape(-1, 8), more[order]], axis=1)
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    return [(base + int(part[x]), out[x:y].tobytes()) for x, y in itertools.pairwise([*first.tolist(), len(part)])]
+
+
+def _buckets(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and key of the bands with several keys. Bands with the same keys name the same bucket."""
+    order = np.lexsort((key, band))
+    band, key = band[order], key[order]
+    new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])][: len(band)]
+    band, key = band[new], key[new]
+    if not len(band):
+        return band, key
+    begin = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+    count = np.diff(np.r_[begin, len(band)])
+    name = mix(np.add.reduceat(mix(key.view(np.uint64)), begin) + count.astype(np.uint64))
+    several = np.repeat(count > 1, count)
+    return np.repeat(name, count)[several], key[several]
+
+
+def _met(band: np.ndarray) -> np.ndarray:
+    """Rows whose band stands in another row too."""
+    order = np.argsort(band, kind="stable")
+    sorted_ = band[order]
+    many = np.r_[False, sorted_[1:] == sorted_[:-1]][: len(band)]
+    many[:-1] |= many[1:]
+    return order[many]
+
+
+def _collisions(parts: int, windows: int):
+    def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bucket, key, window) of each band with several pieces; rows come by part."""
+        for table in groups_of(batches, "part"):
+            part = table.column("part").to_numpy()
+            blobs = table.column("pairs").to_pylist()
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            for x, y in itertools.pairwise([*first.tolist(), len(part)]):
+                window = bool(part[x] >= parts)
+                packed = np.frombuffer(b"".join(blobs[x:y]), np.uint8).reshape(-1, 13 + (2 * windows if window else 0))
+                wide = np.zeros((len(packed), 8), np.uint8)
+                wide[:, :5] = packed[:, :5]
+                at = _met(wide.view(np.uint64).ravel())
+                band, key = wide[at].view(np.uint64).ravel(), packed[at, 5:13].copy().view(np.int64).ravel()
+                found = []
+                if window:
+                    rest = packed[at, 13:].copy().view(np.uint16)
+                    for b in range(windows):
+                        own = band << np.uint64(16) | rest[:, b].astype(np.uint64)
+                        some = _met(own)
+                        found.append(_buckets(own[some], key[some]))
+                else:
+                    found.append(_buckets(band, key))
+                bucket, key = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([signed(bucket), pa.array(key), pa.array(np.full(len(key), window))], ["bucket", "key", "window"])
+
+    return collisions
+
+
+def _sets(min_words: int, shingle: int, wanted: object | None, windows: bool):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, shingles) of the wanted paragraphs, of each once in a task."""
+        """(key, shingles) of the wanted lines, or of the wanted windows (4 bytes of each hash), of each once in a task."""
         done: set[int] = set()
         names = None if wanted is None else wanted.value
         for batch in batches:
             raw = as_bytes(batch.column(0))
-            for i, j in slices(raw):
-                p = Paragraphs(raw[i:j], min_words, shingle)
-                keys, one = np.unique(p.key[p.single].view(np.int64), return_index=True)
+            for i, j in slices(raw, PIECE_BYTES):
+                p = Paragraphs(raw[i:j], min_words, shingle, windows)
+                skip = len(p.single) if windows else 0
+                keys, one = np.unique(p.key[p.near[skip:]].view(np.int64), return_index=True)
+                one = one + skip
                 if names is not None:
-                    at = np.minimum(np.searchsorted(names, keys), max(len(names) - 1, 0))
-                    one = one[names[at] == keys] if len(names) else one[:0]
+                    one = one[_wanted(keys, names)]
                 out = []
                 starts = np.r_[0, p.ends[:-1]]
                 for n in one.tolist():
-                    key = int(p.key[p.single[n]].view(np.int64))
+                    key = int(p.key[p.near[n]].view(np.int64))
                     if key not in done:
                         if names is not None:
                             done.add(key)
-                        out.append((key, np.unique(p.shingles[starts[n] : p.ends[n]]).tobytes()))
+                        own = p.shingles[starts[n] : p.ends[n]]
+                        out.append((key, np.unique(own.astype(np.uint32) if windows else own).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["key", "shingles"])
 
     return sets
@@ -211,23 +340,77 @@ def _verified(threshold: float):
     return verified
 
 
-def near_edges(docs: DataFrame, min_words: int, shingle: int, threshold: float, rows: int, recall: float, broadcast_ids: int) -> DataFrame:
-    """(a, b): verified pairs of distinct paragraphs of docs(text, doc, body), enough to connect their components."""
-    texts = docs.select("text")
-    banded = texts.mapInArrow(_banded(min_words, shingle, bands(threshold, rows, recall), rows), "band bigint, key bigint")
-    met = banded.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_collisions, "bucket bigint, key bigint")
-    met = checkpointed(met.distinct())
-    names = met.select("key").distinct()
-    some = names.limit(broadcast_ids + 1).toArrow().column("key").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(some)) if len(some) <= broadcast_ids else None
-    sets = texts.mapInArrow(_sets(min_words, shingle, shared), "key bigint, shingles binary")
+def earlier(group: np.ndarray, sets: list[np.ndarray], text: np.ndarray, begin: np.ndarray, end: np.ndarray, threshold: float) -> np.ndarray:
+    """For each set the row of the first in its group that is similar, stands before it and doesn't overlap it, or -1.
+
+    Rows come by group and place; text, begin and end say where a set stands. In each round the next set
+    of every group is compared with those after it that have found none, so that close copies take one round.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    values = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    ends = np.cumsum(sizes)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[:n]
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
+    hit, left, k = np.full(n, -1), np.arange(n), 0
+    while True:
+        left = left[(hit[left] < 0) & (left > first[of[left]] + k)]
+        if not len(left):
+            return hit
+        seeds = np.unique(of[left])
+        rows = [first[seeds] + k, left]
+        flat = []
+        for r in rows:
+            owner = np.repeat(r, sizes[r])
+            at = np.repeat(ends[r] - np.cumsum(sizes[r]), sizes[r]) + np.arange(len(owner))
+            flat.append(values[at] ^ mix(of[owner].astype(np.uint64) + np.uint64(1)))
+        known = np.sort(flat[0])
+        same = known[np.minimum(np.searchsorted(known, flat[1]), len(known) - 1)] == flat[1]
+        both = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes[left]) - sizes[left])
+        seed = first[of[left]] + k
+        near = (both >= threshold * (sizes[left] + sizes[seed] - both) - 1e-9) & ~((text[left] == text[seed]) & (begin[left] < end[seed]))
+        hit[left[near]] = seed[near]
+        k += 1
+
+
+def _preceded(threshold: float):
+    def preceded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, before): of each key that comes after a similar one in its bucket; rows come by bucket and place."""
+        for table in groups_of(batches, "bucket"):
+            bucket, key, text, begin, words = (table.column(c).to_numpy() for c in ("bucket", "key", "place", "begin", "words"))
+            sets = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in table.column("shingles").to_pylist()]
+            hit = earlier(bucket, sets, text, begin, begin + words, threshold)
+            at = np.flatnonzero(hit >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(key[hit[at]])], ["key", "before"])
+
+    return preceded
+
+
+def _shared(names: DataFrame, most: int, kind: type = np.int64) -> object | None:
+    """The sorted keys as a broadcast, or None if there are more than ``most``."""
+    some = names.limit(most + 1).toArrow().column("key").to_numpy()
+    return names.sparkSession.sparkContext.broadcast(np.sort(some.astype(kind))) if len(some) <= most else None
+
+
+def collisions(texts: DataFrame, min_words: int, shingle: int, threshold: float, rows: int, recall: float, windows: bool) -> DataFrame:
+    """(bucket, key, window): the pieces of texts(text) that share a band."""
+    parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = bands(threshold, WINDOW_ROWS, recall) if windows else 0
+    banded = texts.mapInArrow(_banded(min_words, shingle, bands(threshold, rows, recall), rows, parts, count), "part int, pairs binary")
+    met = banded.repartition(parts // 4, "part").sortWithinPartitions("part").mapInArrow(_collisions(parts, count), "bucket bigint, key bigint, window boolean")
+    return checkpointed(met.distinct())
+
+
+def shingle_sets(met: DataFrame, texts: DataFrame, min_words: int, shingle: int, shared: object | None, windows: bool) -> DataFrame:
+    """(bucket, key, shingles) of the collisions ``met`` of lines, or of windows."""
+    met = met.where(F.col("window") == windows).select("bucket", "key")
+    sets = texts.mapInArrow(_sets(min_words, shingle, shared, windows), "key bigint, shingles binary")
     one = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))  # equal keys have equal sets
-    full = met.join(one.hint("shuffle_hash"), "key").select("bucket", "key", "shingles")
-    return full.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_verified(threshold), "a bigint, b bigint")
+    return met.join(one.hint("shuffle_hash"), "key").select("bucket", "key", "shingles")
 
 
 def repeated_paragraphs(
-    df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, shingle: int = SHINGLE, min_jaccard: float = MIN_JACCARD, rows: int = BAND_ROWS, recall: float = RECALL, broadcast_ids: int = BROADCAST_IDS
+    df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, shingle: int = SHINGLE, min_jaccard: float = MIN_JACCARD, rows: int = BAND_ROWS, recall: float = RECALL, broadcast_ids: int = BROADCAST_IDS, whole: bool = False
 ) -> DataFrame:
     """(doc, body, at, lines, words, keep_doc, keep_body, keep_at): every paragraph that goes, and the one of its group that stays.
 
@@ -241,22 +424,52 @@ def repeated_paragraphs(
     1 - (1 - j^rows)^bands(), which is ``recall`` at the threshold and rises to 0.99 at 0.6. Nothing less
     similar is ever paired.
 
+    ``whole`` adds the windows, which are ``min_words`` words at an anchor, whatever the ends of lines: any
+    repeated passage of 2 min_words words holds one. A window goes if an equal or, by the same threshold,
+    similar one stands before it and doesn't overlap it. Similar windows meet if they share their anchor, then
+    with the probability ``recall`` at the threshold; equal ones always meet. The columns word and keep_word
+    say with which word of its line a piece begins (0 for paragraphs).
+
     Nulls and empty texts have no paragraphs; neither have texts of fewer words. Rows that repeat both id
     and text are one document; rows that share an id but not a text are two. Copies within one
-    document count, overlapping ones too. An empty table gives no rows. Only the named columns are read.
+    document count, overlapping ones too, except windows. An empty table gives no rows. Only the named columns are read.
     """
     docs = df.select(col(text).cast("string").alias("text"), col(doc_id).cast("bigint").alias("doc"), F.xxhash64(col(text).cast("string")).alias("body"))
-    found = docs.mapInArrow(_found(min_words, shingle), "key bigint, doc bigint, body bigint, at int, lines int, words int")
-    roots = components(near_edges(docs, min_words, shingle, min_jaccard, rows, recall, broadcast_ids))
-    place = F.struct("doc", "body", "at")
-    # a paragraph that was met once, without near copies, leaves here
-    keys = found.groupBy("key").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-    keys = keys.join(roots.hint("shuffle_hash"), F.col("key") == F.col("node"), "left").where(F.col("root").isNotNull() | (F.col("least") != F.col("most")))
-    keys = keys.select("key", "least", F.coalesce("root", "key").alias("root"))
-    keep = keys.groupBy("root").agg(F.min("least").alias("keep"))
-    member = keys.join(keep, "root").select("key", "keep")
-    out = found.join(member.hint("shuffle_hash"), "key").where(~F.struct("doc", "body", "at").eqNullSafe(F.col("keep")))
-    return out.select("doc", "body", "at", "lines", "words", F.col("keep.doc").alias("keep_doc"), F.col("keep.body").alias("keep_body"), F.col("keep.at").alias("keep_at")).distinct()
+    texts = docs.select("text")
+    met = collisions(texts, min_words, shingle, min_jaccard, rows, recall, whole)
+    twice = texts.mapInArrow(_keys(min_words, shingle, whole), "key bigint, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    names = checkpointed(met.select("key").union(twice).distinct())
+    shared = _shared(names.select(F.shiftrightunsigned("key", 32).alias("key")).distinct(), broadcast_ids, np.uint32)
+    # nearly all pieces that were met once, without others in their bands, leave here; the rest is harmless
+    found = docs.mapInArrow(_found(min_words, shingle, whole, shared), "key bigint, doc bigint, body bigint, begin int, at int, word int, lines int, words int, window boolean")
+    if shared is None:
+        found = found.join(names.hint("shuffle_hash"), "key", "left_semi")
+    found = checkpointed(found.distinct())
+    place = F.struct("doc", "body", "begin", "at", "word")
+    keys = found.groupBy("key").agg(F.min(place).alias("least"), F.first("words").alias("words"))
+    keys = checkpointed(keys)
+    near = met.where("window").select("key").distinct() if whole else None
+    lines = met.where("NOT window").select("key").distinct()
+    lines = shingle_sets(met, texts, min_words, shingle, _shared(lines, broadcast_ids), False).repartition("bucket").sortWithinPartitions("bucket", "key")
+    roots = components(lines.mapInArrow(_verified(min_jaccard), "a bigint, b bigint"))
+    member = keys.join(roots.hint("shuffle_hash"), F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    keep = member.groupBy("root").agg(F.min("least").alias("keep"))
+    member = member.join(keep, "root").select("key", "least", "keep")
+    if whole:
+        sets = shingle_sets(met, texts, min_words, shingle, _shared(near, broadcast_ids), True).join(keys.hint("shuffle_hash"), "key")
+        spots = sets.select("bucket", "key", "shingles", "least.doc", "least.body", "least.begin", "words", F.xxhash64("least.doc", "least.body").alias("place"))
+        spots = spots.repartition("bucket").sortWithinPartitions("bucket", "doc", "body", "begin", "key")
+        hits = spots.select("bucket", "key", "shingles", "place", "begin", "words").mapInArrow(_preceded(min_jaccard), "key bigint, before bigint")
+        hits = hits.join(keys.select(F.col("key").alias("before"), F.col("least").alias("spot")).hint("shuffle_hash"), "before").groupBy("key").agg(F.min("spot").alias("before"))
+        member = member.join(hits.hint("shuffle_hash"), "key", "left")
+    else:
+        member = member.withColumn("before", F.lit(None).cast(member.schema["least"].dataType))
+    out = found.join(member.hint("shuffle_hash"), "key")
+    own = F.struct("doc", "body", "begin", "at", "word")
+    apart = ~((F.col("doc").eqNullSafe(F.col("least.doc"))) & (F.col("body") == F.col("least.body")) & (F.col("begin") < F.col("least.begin") + F.col("words")))
+    goes = F.when(F.col("window"), F.when(F.col("before").isNotNull(), F.col("before")).when(apart, F.col("least"))).when(~own.eqNullSafe(F.col("keep")), F.col("keep"))
+    out = out.withColumn("goes", goes).where("goes IS NOT NULL")
+    return out.select("doc", "body", "at", "lines", "words", F.col("goes.doc").alias("keep_doc"), F.col("goes.body").alias("keep_body"), F.col("goes.at").alias("keep_at"), "word", F.col("goes.word").alias("keep_word")).distinct()
 
 
 def dedup_paragraphs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars", **how: object) -> DataFrame:
@@ -281,5 +494,6 @@ def dedup_paragraphs(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line, lines, words, copy_of, copy_line): every repeated paragraph, and the one that stays."""
-    return repeated_paragraphs(read(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), F.col("at").alias("line"), "lines", "words", F.col("keep_doc").alias("copy_of"), F.col("keep_at").alias("copy_line"))
+    """(doc_id, line, lines, words, copy_of, copy_line, word, copy_word): every repeated paragraph or window, and the one that stays."""
+    found = repeated_paragraphs(read(spark, sf_dir, "documents"), whole=True)
+    return found.select(F.col("doc").alias("doc_id"), F.col("at").alias("line"), "lines", "words", F.col("keep_doc").alias("copy_of"), F.col("keep_at").alias("copy_line"), "word", F.col("keep_word").alias("copy_word"))

@@ -193,3 +193,36 @@ def test_paragraphs_awkward(awkward, empty):
     assert [r.doc_id for r in out] == [None]
     assert passages.repeated_paragraphs(empty).count() == 0
     assert passages.bands(1.0) == 1 and 1 - (1 - 0.5**3) ** passages.bands(0.5, 3, 0.95) >= 0.95
+
+
+def test_passages_inside_longer_lines(spark):
+    rng = random.Random(8)
+    unlike = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    docs, near = [], []
+    for k in range(30):
+        shared = unlike(f"s{k}x", 50)
+        changed = [w if i % 24 != 12 else "changed" for i, w in enumerate(unlike(f"n{k}x", 72))]
+        again = [w if i % 24 != 12 else "other" for i, w in enumerate(changed)]
+        for side, passage in ((0, changed), (1, again)):
+            words = unlike("a", 60) + shared + unlike("b", 40) + passage + unlike("c", 30)
+            cut = 5 * side + 70
+            docs.append((2 * k + side, " ".join(words[:cut]) + "\n" + " ".join(words[cut:])))
+        near.append(2 * k + 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert passages.repeated_paragraphs(df).count() == 0
+    for limit in (passages.BROADCAST_IDS, 0):
+        rows = passages.repeated_paragraphs(df, whole=True, broadcast_ids=limit).collect()
+        texts = dict(docs)
+        hit, blurred = set(), set()
+        for r in rows:
+            assert r.doc % 2 == 1 and r.keep_doc == r.doc - 1 and r.words == 25
+            begin = len(texts[r.doc].split("\n")[0].split()) * r["at"] + r.word
+            now = texts[r.doc].split()[begin : begin + 25]
+            (blurred if "other" in now else hit).add(r.doc)
+        assert hit == set(near) and len(blurred) >= 20
+
+
+def test_windows_of_one_document(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = passages.repeated_paragraphs(spark.createDataFrame([(1, " ".join(words)), (2, "a " * 500)], "doc_id long, text string"), whole=True).collect()
+    assert {r.doc for r in rows} == {2} and all(r.word >= 25 for r in rows)
