@@ -122,7 +122,7 @@ class Paragraphs:
             for name, more in (("row", of[a]), ("at", line_of[a] - np.searchsorted(breaks, begin)[of[a]]), ("lines", line_of[a + min_words - 1] - line_of[a] + 1), ("words", np.full(len(a), min_words)), ("key", _sequence_hashes(words, a, a + min_words)), ("begin", a - opens), ("word", a - first[lead])):
                 setattr(self, name, np.r_[getattr(self, name), more])
             from_, to = np.r_[from_, a], np.r_[to, a + min_words]
-            self.near = np.r_[self.single, self.paragraphs + np.arange(len(a))]
+            self.near = np.arange(self.paragraphs + len(a))
         from_, to = from_[self.near], to[self.near]
         size = np.maximum(to - from_ - shingle + 1, 1)
         self.ends = np.cumsum(size)
@@ -263,7 +263,7 @@ def _collisions(parts: int, windows: int):
     return collisions
 
 
-def _sets(min_words: int, shingle: int, wanted: object | None, windows: bool):
+def _sets(min_words: int, shingle: int, wanted: object | None, windows: bool, whole: bool):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, shingles) of the wanted lines, or of the wanted windows (4 bytes of each hash), of each once in a task."""
         done: set[int] = set()
@@ -271,9 +271,10 @@ def _sets(min_words: int, shingle: int, wanted: object | None, windows: bool):
         for batch in batches:
             raw = as_bytes(batch.column(0))
             for i, j in slices(raw, PIECE_BYTES):
-                p = Paragraphs(raw[i:j], min_words, shingle, windows)
-                skip = len(p.single) if windows else 0
-                keys, one = np.unique(p.key[p.near[skip:]].view(np.int64), return_index=True)
+                p = Paragraphs(raw[i:j], min_words, shingle, whole)
+                skip = p.paragraphs if windows else 0
+                own = p.near[skip:] if windows else p.near[p.near < p.paragraphs]
+                keys, one = np.unique(p.key[own].view(np.int64), return_index=True)
                 one = one + skip
                 if names is not None:
                     one = one[_wanted(keys, names)]
@@ -323,21 +324,28 @@ def similar(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _verified(threshold: float):
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_edges(threshold: float):
+    def line_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, before): similar lines; and with before, paragraphs of several lines and a similar one that comes before."""
         for table in groups_of(batches, "bucket"):
-            bucket, key = table.column("bucket").to_numpy(), table.column("key").to_numpy()
-            sets = table.column("shingles").to_pylist()
-            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            bucket, key, text, begin, words, single = (table.column(c).to_numpy() for c in ("bucket", "key", "place", "begin", "words", "single"))
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
             a, b = [], []
-            for i, j in itertools.pairwise([*first.tolist(), len(bucket)]):
+            own = np.flatnonzero(single)
+            first = np.flatnonzero(np.r_[True, bucket[own][1:] != bucket[own][:-1]][: len(own)])
+            for i, j in itertools.pairwise([*first.tolist(), len(own)]):
                 if j - i > 1:
-                    for x, y in similar([np.frombuffer(s, np.uint64) for s in sets[i:j]], threshold):
-                        a.append(key[i + x])
-                        b.append(key[i + y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    for x, y in similar([sets[n] for n in own[i:j]], threshold):
+                        a.append(key[own[i + x]])
+                        b.append(key[own[i + y]])
+            at = np.zeros(0, np.int64)
+            if not single.all():
+                hit = earlier(bucket, sets, text, begin, begin + words, threshold)
+                at = np.flatnonzero((hit >= 0) & ~single)
+                a, b = [*a, *key[at]], [*b, *key[hit[at]]]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.arange(len(a)) >= len(a) - len(at))], ["a", "b", "before"])
 
-    return verified
+    return line_edges
 
 
 def earlier(group: np.ndarray, sets: list[np.ndarray], text: np.ndarray, begin: np.ndarray, end: np.ndarray, threshold: float) -> np.ndarray:
@@ -401,10 +409,19 @@ def collisions(texts: DataFrame, min_words: int, shingle: int, threshold: float,
     return checkpointed(met.distinct())
 
 
-def shingle_sets(met: DataFrame, texts: DataFrame, min_words: int, shingle: int, shared: object | None, windows: bool) -> DataFrame:
+def _apart(met: DataFrame, keys: DataFrame) -> DataFrame:
+    """met without the buckets of which all pieces overlap each other in one text, as none of them can be a copy of another."""
+    spots = met.join(keys.select("key", "least", "words").hint("shuffle_hash"), "key")
+    text, begin = F.xxhash64("least.doc", "least.body"), F.col("least.begin")
+    some = spots.groupBy("bucket").agg(F.min(text).alias("t"), F.max(text).alias("u"), F.max(begin).alias("last"), F.min(begin + F.col("words")).alias("end"))
+    some = some.where("t <> u OR last >= end").select("bucket")
+    return checkpointed(met.join(some.hint("shuffle_hash"), "bucket", "left_semi"))
+
+
+def shingle_sets(met: DataFrame, texts: DataFrame, min_words: int, shingle: int, shared: object | None, windows: bool, whole: bool) -> DataFrame:
     """(bucket, key, shingles) of the collisions ``met`` of lines, or of windows."""
     met = met.where(F.col("window") == windows).select("bucket", "key")
-    sets = texts.mapInArrow(_sets(min_words, shingle, shared, windows), "key bigint, shingles binary")
+    sets = texts.mapInArrow(_sets(min_words, shingle, shared, windows, whole), "key bigint, shingles binary")
     one = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))  # equal keys have equal sets
     return met.join(one.hint("shuffle_hash"), "key").select("bucket", "key", "shingles")
 
@@ -427,7 +444,8 @@ def repeated_paragraphs(
     ``whole`` adds the windows, which are ``min_words`` words at an anchor, whatever the ends of lines: any
     repeated passage of 2 min_words words holds one. A window goes if an equal or, by the same threshold,
     similar one stands before it and doesn't overlap it. Similar windows meet if they share their anchor, then
-    with the probability ``recall`` at the threshold; equal ones always meet. The columns word and keep_word
+    with the probability ``recall`` at the threshold; equal ones always meet. Paragraphs of several lines are
+    banded as lines are, and go as windows do, so that those that overlap are never taken for copies. The columns word and keep_word
     say with which word of its line a piece begins (0 for paragraphs).
 
     Nulls and empty texts have no paragraphs; neither have texts of fewer words. Rows that repeat both id
@@ -446,20 +464,25 @@ def repeated_paragraphs(
         found = found.join(names.hint("shuffle_hash"), "key", "left_semi")
     found = checkpointed(found.distinct())
     place = F.struct("doc", "body", "begin", "at", "word")
-    keys = found.groupBy("key").agg(F.min(place).alias("least"), F.first("words").alias("words"))
+    keys = found.groupBy("key").agg(F.min(place).alias("least"), F.first("words").alias("words"), F.bool_or(~F.col("window") & (F.col("lines") == 1)).alias("single"))
     keys = checkpointed(keys)
+    if whole:
+        met = _apart(met, keys)
     near = met.where("window").select("key").distinct() if whole else None
     lines = met.where("NOT window").select("key").distinct()
-    lines = shingle_sets(met, texts, min_words, shingle, _shared(lines, broadcast_ids), False).repartition("bucket").sortWithinPartitions("bucket", "key")
-    roots = components(lines.mapInArrow(_verified(min_jaccard), "a bigint, b bigint"))
-    member = keys.join(roots.hint("shuffle_hash"), F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    order = ["bucket", "doc", "body", "begin", "key"]
+    spot = ["least.doc", "least.body", "least.begin", "words", F.xxhash64("least.doc", "least.body").alias("place")]
+    lines = shingle_sets(met, texts, min_words, shingle, _shared(lines, broadcast_ids), False, whole).join(keys.hint("shuffle_hash"), "key").select("bucket", "key", "shingles", "single", *spot)
+    edges = checkpointed(lines.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_line_edges(min_jaccard), "a bigint, b bigint, before boolean"))
+    roots = components(edges.where("NOT before").select("a", "b"))
+    member = keys.join(roots.hint("shuffle_hash"), F.col("key") == F.col("node"), "left").select("key", "least", "single", F.coalesce("root", "key").alias("root"))
     keep = member.groupBy("root").agg(F.min("least").alias("keep"))
-    member = member.join(keep, "root").select("key", "least", "keep")
+    member = member.join(keep, "root").select("key", "least", "single", "keep")
     if whole:
-        sets = shingle_sets(met, texts, min_words, shingle, _shared(near, broadcast_ids), True).join(keys.hint("shuffle_hash"), "key")
-        spots = sets.select("bucket", "key", "shingles", "least.doc", "least.body", "least.begin", "words", F.xxhash64("least.doc", "least.body").alias("place"))
-        spots = spots.repartition("bucket").sortWithinPartitions("bucket", "doc", "body", "begin", "key")
+        sets = shingle_sets(met, texts, min_words, shingle, _shared(near, broadcast_ids), True, True).join(keys.hint("shuffle_hash"), "key")
+        spots = sets.select("bucket", "key", "shingles", *spot).repartition("bucket").sortWithinPartitions(*order)
         hits = spots.select("bucket", "key", "shingles", "place", "begin", "words").mapInArrow(_preceded(min_jaccard), "key bigint, before bigint")
+        hits = hits.unionByName(edges.where("before").select(F.col("a").alias("key"), F.col("b").alias("before")))
         hits = hits.join(keys.select(F.col("key").alias("before"), F.col("least").alias("spot")).hint("shuffle_hash"), "before").groupBy("key").agg(F.min("spot").alias("before"))
         member = member.join(hits.hint("shuffle_hash"), "key", "left")
     else:
@@ -467,7 +490,7 @@ def repeated_paragraphs(
     out = found.join(member.hint("shuffle_hash"), "key")
     own = F.struct("doc", "body", "begin", "at", "word")
     apart = ~((F.col("doc").eqNullSafe(F.col("least.doc"))) & (F.col("body") == F.col("least.body")) & (F.col("begin") < F.col("least.begin") + F.col("words")))
-    goes = F.when(F.col("window"), F.when(F.col("before").isNotNull(), F.col("before")).when(apart, F.col("least"))).when(~own.eqNullSafe(F.col("keep")), F.col("keep"))
+    goes = F.when(F.col("window"), F.when(F.col("before").isNotNull(), F.col("before")).when(apart, F.col("least"))).when(~own.eqNullSafe(F.col("keep")), F.col("keep")).when(~F.col("single"), F.col("before"))
     out = out.withColumn("goes", goes).where("goes IS NOT NULL")
     return out.select("doc", "body", "at", "lines", "words", F.col("goes.doc").alias("keep_doc"), F.col("goes.body").alias("keep_body"), F.col("goes.at").alias("keep_at"), "word", F.col("goes.word").alias("keep_word")).distinct()
 

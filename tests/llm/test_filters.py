@@ -226,3 +226,15 @@ def test_windows_of_one_document(spark):
     words = [f"w{i}" for i in range(200)]
     rows = passages.repeated_paragraphs(spark.createDataFrame([(1, " ".join(words)), (2, "a " * 500)], "doc_id long, text string"), whole=True).collect()
     assert {r.doc for r in rows} == {2} and all(r.word >= 25 for r in rows)
+
+
+def test_near_copies_of_short_lines(spark):
+    docs = []
+    for k in range(20):
+        lines = [[f"p{k}x{i}y{j}" for j in range(9)] for i in range(8)]
+        other = [[w if (i % 2, j) != (0, 4) else "changed" for j, w in enumerate(x)] for i, x in enumerate(lines)]
+        docs += [(2 * k + side, "\n".join(map(" ".join, x))) for side, x in enumerate((lines, other))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert passages.repeated_paragraphs(df).count() == 0
+    rows = passages.repeated_paragraphs(df, whole=True).where("lines > 1 AND word = 0 AND words > 25").collect()
+    assert {(r.doc, r.keep_doc) for r in rows} == {(2 * k + 1, 2 * k) for k in range(20)}
