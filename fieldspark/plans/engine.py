@@ -223,7 +223,7 @@ class Engine:
         more = long_form(second, [doc], "data", leaves).join(wanted, [doc, "path"], "left_semi")
         both = merge.merge_passes(long_form(found, [doc], "data", leaves), more, [doc, "path"], F.lit(True))
         both = both.where(F.col("value").isNotNull())
-        flat = both if not nested else _nest(both, doc)
+        flat = both if not nested else _nest(both, doc, max(p.count(".") for p in leaves) + 1)
         return found.select(doc).join(record(flat.where(F.col("path").isin(tops)), [doc]), doc, "left").select(doc, F.coalesce("data", F.lit("{}")).alias("data")), calls
 
     def _passes(self, chunks: DataFrame, schema: S.Schema, request: str, doc: str) -> Result:
@@ -270,10 +270,9 @@ class Engine:
         return {"results": result, "improved_schema": better.get("schema", schema), "improved_user_prompt": better.get("prompt", prompt)}
 
 
-def _nest(rows: DataFrame, doc: str) -> DataFrame:
-    """Rows of dotted paths as rows of top fields, objects built from the deepest level up."""
+def _nest(rows: DataFrame, doc: str, most: int) -> DataFrame:
+    """Rows of dotted paths of at most so many parts as rows of top fields, objects built from the deepest level up."""
     deep = F.size(F.split("path", r"\."))
-    most = 6
     now = rows.select(doc, "path", "value")
     for level in range(most, 1, -1):
         inner = now.where(deep == level)

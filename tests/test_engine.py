@@ -190,3 +190,14 @@ def test_stream(spark, tmp_path):
         (inbox / f"{name}.txt").write_text(f"Write to {name}@b.org.")
     got = {json.loads(r.data).get("email") for r in spark.read.parquet(out).collect()}
     assert got == {"a@b.org", "b@b.org"}
+
+
+def test_second_pass_of_a_deep_schema(spark, docs):
+    schema, value = {"type": "object", "properties": {"leaf": TEXT, "other": TEXT}}, {"leaf": "x"}
+    for k in range(7):
+        schema, value = {"type": "object", "properties": {f"n{k}": schema}}, {f"n{k}": value}
+    out = Engine(spark, CallableExtractor(lambda text, schema, prompt: value)).extract(docs.where("doc_id = 1"), schema)
+    got = records(out)[1]
+    for k in reversed(range(7)):
+        got = got[f"n{k}"]
+    assert got["leaf"] == "x"
