@@ -1,13 +1,14 @@
 """Operator 6, substring dedup: paragraph MinHash banding.
 
-A paragraph is a line of enough words or, from each shorter line on, as many lines as make up enough words.
-Equal paragraphs are brought together by a hash of their words. Distinct lines are banded by MinHash over
-word triples, those that collide in a band are joined, the exact Jaccard similarity of their triples is
-verified, and the components of verified pairs are groups of which the first paragraph stays.
-
-What repeats inside longer lines, or across lines that end elsewhere, is found by windows: as many words as a
-paragraph needs, each beginning at an anchor, the least triple of a stretch of words (winnowing). So any
-repeated passage of twice as many words holds a whole window. They are banded by MinHash and verified too.
+Paragraphs are cut at content, not at line ends: of each stretch of word triples the least one is an anchor
+(winnowing), and a paragraph is a fixed number of words from an anchor on. So a repeated passage holds the same
+paragraphs wherever it stands. Paragraphs that share their anchor and two of their MinHashes collide, the exact
+Jaccard similarity of their triples is verified, and the components of verified pairs are classes of which the
+first document's paragraphs stay.
+
+The text is read twice. The first scan sends a short record for each paragraph to the part of its anchor, where
+collisions are found; the second fetches places, neighbouring words and triples of those paragraphs only that
+collided. Paragraphs that overlap make up a passage, which is reported if it is long enough.
 """
 
 from __future__ import annotations
@@ -18,36 +19,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import LOWER, as_bytes, checkpointed, col, components, groups_of, joined, mix, read, signed, slices, span_hashes, word_spans
+from fieldspark.llm.shared import LOWER, Recent, as_bytes, blocked, checkpointed, col, components, groups_of, joined, mix, read, signed, slices, span_hashes, word_spans
 
-#: Words of a paragraph, at least. A passage of twice as many words, of whole lines, always holds one.
-MIN_WORDS = 25
+#: A verbatim passage of so many words is always found, and a shorter one isn't reported.
+MIN_WORDS = 51
+#: Words of a paragraph.
+WINDOW = 37
 #: Words in a shingle.
 SHINGLE = 3
 #: Paragraphs at least so similar (Jaccard, of their sets of shingles) are copies.
-MIN_JACCARD = 0.5
-#: MinHashes in a band, and the recall of banding at exactly the threshold.
-BAND_ROWS = 3
-RECALL = 0.95
-#: MinHashes in a band of windows, besides the anchor that its windows share.
-WINDOW_ROWS = 1
-#: Up to so many colliding paragraphs are named to the executors (8 bytes each); more are joined instead.
+MIN_JACCARD = 0.7
+#: Of so many MinHashes, two that agree (besides the anchor) make a collision; see ``recall``.
+HASHES = 6
+#: Up to so many collided paragraphs are named to the executors (8 bytes each); more are joined instead.
 BROADCAST_IDS = 4_000_000
+#: Members of a bucket that one task verifies at once; larger buckets are split into blocks.
+BLOCK = 20_000
+#: Bytes of text whose paragraphs a task holds at once.
+PIECE_BYTES = 1 << 19
 
-#: Bytes of text whose pieces a task holds at once.
-PIECE_BYTES = 1 << 18
-
-_FACTORS = np.random.default_rng(61).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(61).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15 | 1
 _UNSTEP = pow(_STEP, -1, 1 << 64)
 
 
-def bands(threshold: float = MIN_JACCARD, rows: int = BAND_ROWS, recall: float = RECALL) -> int:
-    """The fewest bands with which a pair at the threshold collides with the probability ``recall``."""
-    return 1 if threshold >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+def recall(jaccard: float, hashes: int = HASHES) -> float:
+    """The chance that paragraphs with the same anchor and that similarity collide: two hashes at least agree."""
+    return 1 - sum(math.comb(hashes, k) * jaccard**k * (1 - jaccard) ** (hashes - k) for k in (0, 1))
+
+
+def _record(hashes: int) -> np.dtype:
+    """What is sent of a paragraph: 4 bytes of its anchor, its hash, 2 bytes of each MinHash, whether several texts hold it."""
+    return np.dtype([("anchor", "<u4"), ("key", "<u8"), ("least", "<u2", (hashes,)), ("many", "u1")])
 
 
 def _sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,235 +67,226 @@ def _sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def _anchors(grams: np.ndarray, text: np.ndarray, width: int, words: int) -> np.ndarray:
-    """Where windows of so many words begin: at the last least gram of every ``width`` grams in a row."""
-    if len(grams) < max(width, words):
+def anchors(grams: np.ndarray, text: np.ndarray, stretch: int, shingle: int, window: int) -> np.ndarray:
+    """Words at which paragraphs begin: the last least gram of every ``stretch`` grams in a row that lie in one text."""
+    reach = stretch + shingle - 1
+    if len(grams) < max(reach, window):
         return np.zeros(0, np.int64)
     low = np.uint64((1 << 24) - 1)
     least, size = grams & ~low | low - (np.arange(len(grams), dtype=np.uint64) & low), 1
-    while size < width:
-        step = min(size, width - size)
+    while size < stretch:
+        step = min(size, stretch - size)
         least, size = np.minimum(least[:-step], least[step:]), size + step
-    base = np.arange(len(least))
-    at = np.unique(base + ((low - (least & low)).astype(np.int64) - base & int(low)))
-    at = at[at + words <= len(grams)]
-    return at[text[at] == text[at + words - 1]]
+    base = np.flatnonzero(text[: len(text) - reach + 1] == text[reach - 1 :])
+    at = np.unique(base + ((low - (least[base] & low)).astype(np.int64) - base & int(low)))
+    at = at[at + window <= len(grams)]
+    return at[text[at] == text[at + window - 1]]
 
 
 class Paragraphs:
-    """The paragraphs of some texts: row of the text, first line, lines, words, hash; and the hashes of the shingles of single lines.
+    """The paragraphs of some texts: row of the text, first word in it, hash of the words, anchor; ``words`` counts those of each text."""
 
-    ``whole`` adds the windows after the paragraphs, and the shingles of theirs. ``begin`` is the number of the
-    first word in its text, ``word`` in its line.
-    """
-
-    def __init__(self, texts: list[bytes], min_words: int, shingle: int, whole: bool = False):
-        buf, begin, end = joined(texts)
-        breaks = np.flatnonzero(buf == 10)
-        buf = LOWER[buf]
+    def __init__(self, texts: list[bytes], min_words: int, window: int, shingle: int):
+        buf, _, end = joined(texts)
         starts, ends = word_spans(buf)
-        words = span_hashes(buf, starts, ends)
-        line_of = np.searchsorted(breaks, starts)
-        first = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]]) if len(starts) else np.zeros(0, np.int64)
-        stop = np.r_[first[1:], len(starts)].astype(np.int64)[: len(first)]
-        text = np.searchsorted(end, starts[first], side="right")
-        # the line that holds the last word that is needed ends the paragraph
-        need = first + min_words - 1
-        last = np.searchsorted(stop, np.minimum(need, len(starts) - 1), side="right")
-        keep = need < len(starts)
-        keep[keep] = text[last[keep]] == text[keep]
-        at, last = np.flatnonzero(keep), last[keep]
-        self.row = text[at]
-        number = line_of[first]
-        self.at = number[at] - np.searchsorted(breaks, begin)[self.row]
-        self.lines = number[last] - number[at] + 1
-        self.words = stop[last] - first[at]
-        self.key = _sequence_hashes(words, first[at], stop[last])
-        self.single = np.flatnonzero(at == last)
-        self.paragraphs = len(at)
-        from_, to = first[at], stop[last]
-        opens = first[np.searchsorted(text, np.arange(len(texts)))[self.row]] if len(at) else at
-        self.begin, self.word = from_ - opens, np.zeros(len(at), np.int64)
-        self.near = self.single
-        if whole:
-            of = np.searchsorted(end, starts, side="right")
-            edge = np.arange(len(starts))
-            grams = _sequence_hashes(words, edge, np.minimum(edge + shingle, len(starts)))
-            a = _anchors(grams, of, min_words + 1, min_words)
-            self.anchor = grams[a]
-            lead = np.searchsorted(first, a, side="right") - 1
-            opens = first[np.searchsorted(text, of[a])]
-            for name, more in (("row", of[a]), ("at", line_of[a] - np.searchsorted(breaks, begin)[of[a]]), ("lines", line_of[a + min_words - 1] - line_of[a] + 1), ("words", np.full(len(a), min_words)), ("key", _sequence_hashes(words, a, a + min_words)), ("begin", a - opens), ("word", a - first[lead])):
-                setattr(self, name, np.r_[getattr(self, name), more])
-            from_, to = np.r_[from_, a], np.r_[to, a + min_words]
-            self.near = np.arange(self.paragraphs + len(a))
-        from_, to = from_[self.near], to[self.near]
-        size = np.maximum(to - from_ - shingle + 1, 1)
-        self.ends = np.cumsum(size)
-        where = np.repeat(from_ - (self.ends - size), size) + np.arange(self.ends[-1] if len(size) else 0)
-        self.shingles = _sequence_hashes(words, where, np.minimum(where + shingle, np.repeat(to, size)))
-
-    def band_keys(self, count: int, rows: int, windows: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the paragraphs that are banded, or of the windows, and (those, count) hashes of their bands."""
-        cut = int((self.near < self.paragraphs).sum())
-        which = self.near[cut:] if windows else self.near[:cut]
-        names, one = np.unique(self.key[which], return_index=True)
-        if not len(which):
-            return names, np.zeros((0, count), np.uint64)
-        base = self.ends[cut - 1] if cut else 0
-        shingles = self.shingles[base:] if windows else self.shingles[:base]
-        starts = np.r_[base, self.ends[cut:-1]] - base if windows else np.r_[0, self.ends[: cut - 1]]
-        out = np.zeros((len(one), count), np.uint64)
-        for b in range(count):
-            h = np.full(len(which), b + 1, np.uint64) ^ (self.anchor if windows else np.uint64(0))
-            for r in range(rows):
-                h = mix(h * np.uint64(_STEP) + np.minimum.reduceat(shingles * _FACTORS[b * rows + r], starts))
-            out[:, b] = h[one]
-        return names, out
-
-
-def _wanted(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Which keys are among the names, which are sorted."""
-    if not len(names):
-        return np.zeros(len(keys), bool)
-    return names[np.minimum(np.searchsorted(names, keys), len(names) - 1)] == keys
-
-
-def _found(min_words: int, shingle: int, whole: bool, wanted: object | None):
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = as_bytes(batch.column(0))
-            for i, j in slices(raw, PIECE_BYTES):
-                p = Paragraphs(raw[i:j], min_words, shingle, whole)
-                at = np.arange(len(p.key)) if wanted is None else np.flatnonzero(_wanted((p.key >> np.uint64(32)).astype(np.uint32), wanted.value))
-                rest = batch.slice(i, j - i).take(pa.array(p.row[at]))
-                numbers = [pa.array(x[at].astype(np.int32)) for x in (p.begin, p.at, p.word, p.lines, p.words)]
-                yield pa.RecordBatch.from_arrays([signed(p.key[at]), rest.column(1), rest.column(2), *numbers, pa.array(at >= p.paragraphs)], ["key", "doc", "body", "begin", "at", "word", "lines", "words", "window"])
-
-    return found
-
-
-def _keys(min_words: int, shingle: int, whole: bool):
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, n) of the pieces of each slice."""
-        for batch in batches:
-            raw = as_bytes(batch.column(0))
-            for i, j in slices(raw, PIECE_BYTES):
-                key, n = np.unique(Paragraphs(raw[i:j], min_words, shingle, whole).key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([signed(key), pa.array(n.astype(np.int32))], ["key", "n"])
-
-    return keys
-
-
-def _banded(min_words: int, shingle: int, count: int, rows: int, parts: int, windows: int):
+        words = span_hashes(LOWER[buf], starts, ends)
+        of = np.searchsorted(end, starts, side="right")
+        self.words = np.bincount(of, minlength=len(texts))
+        edge = np.arange(len(starts))
+        self.short = words.astype(np.uint16)
+        self.grams = _sequence_hashes(words, edge, np.minimum(edge + shingle, len(starts)))
+        self.at = anchors(self.grams, of, min_words - window + 1, shingle, window)
+        self.row = of[self.at]
+        self.begin = self.at - (np.cumsum(self.words) - self.words)[self.row]
+        self.key = _sequence_hashes(words, self.at, self.at + window)
+        self.anchor = self.grams[self.at]
+        self.window, self.width = window, window - shingle + 1
+
+    def around(self, which: np.ndarray, most: int) -> np.ndarray:
+        """(n, 2 + 4 most) bytes: how many words stand before and after some paragraphs in their texts, ``most`` at most, and 2 bytes of each."""
+        at = self.at[which]
+        before = np.minimum(self.begin[which], most)
+        after = np.minimum(self.words[self.row[which]] - self.begin[which] - self.window, most)
+        places = np.concatenate([at[:, None] + np.arange(-most, 0), at[:, None] + self.window + np.arange(most)], axis=1)
+        near = self.short[np.clip(places, 0, len(self.short) - 1)]
+        return np.concatenate([np.stack([before, after], axis=1).astype(np.uint8), near.view(np.uint8)], axis=1)
+
+    def sets(self, which: np.ndarray) -> np.ndarray:
+        """(n, width) 32-bit hashes of the shingles of some paragraphs."""
+        return self.grams[self.at[which][:, None] + np.arange(self.width)].astype(np.uint32)
+
+    def least(self, which: np.ndarray, hashes: int) -> np.ndarray:
+        """(n, hashes) 16 bits of the MinHashes of some paragraphs."""
+        out = np.empty((len(which), hashes), np.uint16)
+        for i in range(0, len(which), 4096):
+            own = self.grams[self.at[which[i : i + 4096]][:, None] + np.arange(self.width)]
+            for k in range(hashes):
+                out[i : i + 4096, k] = mix((own * _FACTORS[k]).min(axis=1)).astype(np.uint16)
+        return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch], how: tuple) -> Iterator[tuple[Paragraphs, np.ndarray]]:
+    """The paragraphs of each slice of (text, body), and the bodies of its texts; a text that was met shortly before is left out."""
+    met = Recent(16)
+    for batch in batches:
+        body = batch.column(1).to_numpy().view(np.uint64)
+        _, one = np.unique(body, return_index=True)
+        one = np.sort(one)
+        one = one[met.new(body[one])]
+        raw = as_bytes(batch.column(0).take(pa.array(one)))
+        body = body[one]
+        for i, j in slices(raw, PIECE_BYTES):
+            yield Paragraphs(raw[i:j], *how), body[i:j]
+
+
+def _banded(how: tuple, hashes: int, parts: int):
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(part, pairs): the bands and their keys, packed. A window comes once, with its anchor and 2 bytes of each of its bands."""
-        for batch in batches:
-            raw = as_bytes(batch.column(0))
-            for i, j in slices(raw, PIECE_BYTES):
-                p = Paragraphs(raw[i:j], min_words, shingle, windows > 0)
-                key, band = p.band_keys(count, rows)
-                blobs = _packed(0, parts, band.ravel(), np.repeat(key, count), np.zeros((band.size, 0), np.uint8))
-                if windows:
-                    key, band = p.band_keys(windows, WINDOW_ROWS, True)
-                    one = np.unique(p.key[p.paragraphs :], return_index=True)[1]
-                    more = band.view(np.uint8).reshape(len(key), windows, 8)[:, :, :2].reshape(len(key), 2 * windows)
-                    blobs += _packed(parts, parts, mix(p.anchor[one]), key, more)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["part", "pairs"])
+        """(part, records) of the paragraphs by the part of their anchor.
+
+        Each goes once for a slice of text, and twice in a task if it isn't forgotten in between: that is enough to
+        know that several texts hold it, however many do.
+        """
+        once, twice = Recent(20), Recent(18)
+        for p, _ in _cut(batches, how):
+            key, one, which = np.unique(p.key, return_index=True, return_inverse=True)
+            low, high = np.full(len(key), len(p.words)), np.zeros(len(key), np.int64)
+            np.minimum.at(low, which, p.row)
+            np.maximum.at(high, which, p.row)
+            goes = once.new(key)
+            goes[~goes] = twice.new(key[~goes])
+            at = one[goes]
+            out = np.empty(len(at), _record(hashes))
+            spread = mix(p.anchor[at])
+            out["anchor"], out["key"], out["least"], out["many"] = spread, key[goes], p.least(at, hashes), (low < high)[goes]
+            part = (spread >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            part, out = part[order], out[order]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+            blobs = [(int(part[x]), out[x:y].tobytes()) for x, y in itertools.pairwise([*first.tolist(), len(part)])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["part", "records"])
 
     return banded
 
 
-def _packed(base: int, parts: int, band: np.ndarray, key: np.ndarray, more: np.ndarray) -> list[tuple[int, bytes]]:
-    """(part, records): 5 bytes of a band's hash, 8 of a key and what else belongs to it, by the part that the band falls in."""
-    part = (band >> np.uint64(40)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    out = np.concatenate([band[order].view(np.uint8).reshape(-1, 8)[:, :5], key[order].view(np.uint8).reshape(-1, 8), more[order]], axis=1)
-    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
-    return [(base + int(part[x]), out[x:y].tobytes()) for x, y in itertools.pairwise([*first.tolist(), len(part)])]
-
-
 def _buckets(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and key of the bands with several keys. Bands with the same keys name the same bucket."""
-    order = np.lexsort((key, band))
-    band, key = band[order], key[order]
-    new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])][: len(band)]
-    band, key = band[new], key[new]
-    if not len(band):
-        return band, key
-    begin = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-    count = np.diff(np.r_[begin, len(band)])
-    name = mix(np.add.reduceat(mix(key.view(np.uint64)), begin) + count.astype(np.uint64))
-    several = np.repeat(count > 1, count)
-    return np.repeat(name, count)[several], key[several]
-
-
-def _met(band: np.ndarray) -> np.ndarray:
-    """Rows whose band stands in another row too."""
+    """Bucket and key of the bands that several keys share. Bands with the same keys name the same bucket."""
     order = np.argsort(band, kind="stable")
-    sorted_ = band[order]
-    many = np.r_[False, sorted_[1:] == sorted_[:-1]][: len(band)]
+    band = band[order]
+    many = np.r_[False, band[1:] == band[:-1]][: len(band)]
     many[:-1] |= many[1:]
-    return order[many]
+    order, band = order[many], band[many]
+    if not len(band):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    own = key[order]
+    first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+    count = np.diff(np.r_[first, len(band)])
+    return np.repeat(mix(np.add.reduceat(mix(own), first) + count.astype(np.uint64)), count), own
 
 
-def _collisions(parts: int, windows: int):
+def _collisions(hashes: int):
     def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(bucket, key, window) of each band with several pieces; rows come by part."""
+        """(key, bucket): without a bucket, the keys that several texts hold; with one, the keys that share two MinHashes."""
         for table in groups_of(batches, "part"):
-            part = table.column("part").to_numpy()
-            blobs = table.column("pairs").to_pylist()
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            for x, y in itertools.pairwise([*first.tolist(), len(part)]):
-                window = bool(part[x] >= parts)
-                packed = np.frombuffer(b"".join(blobs[x:y]), np.uint8).reshape(-1, 13 + (2 * windows if window else 0))
-                wide = np.zeros((len(packed), 8), np.uint8)
-                wide[:, :5] = packed[:, :5]
-                at = _met(wide.view(np.uint64).ravel())
-                band, key = wide[at].view(np.uint64).ravel(), packed[at, 5:13].copy().view(np.int64).ravel()
-                found = []
-                if window:
-                    rest = packed[at, 13:].copy().view(np.uint16)
-                    for b in range(windows):
-                        own = band << np.uint64(16) | rest[:, b].astype(np.uint64)
-                        some = _met(own)
-                        found.append(_buckets(own[some], key[some]))
-                else:
-                    found.append(_buckets(band, key))
-                bucket, key = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([signed(bucket), pa.array(key), pa.array(np.full(len(key), window))], ["bucket", "key", "window"])
+            part, blobs = table.column("part").to_numpy(), table.column("records").to_pylist()
+            for x, y in itertools.pairwise([*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)]):
+                rows = np.frombuffer(b"".join(blobs[x:y]), _record(hashes))
+                rows = rows[np.lexsort((rows["key"], rows["anchor"]))]
+                anchor, key = rows["anchor"], rows["key"]
+                new = np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])][: len(rows)]
+                first = np.flatnonzero(new)
+                size = np.diff(np.r_[first, len(rows)])
+                met = key[first][(size > 1) | np.maximum.reduceat(rows["many"], first).astype(bool)] if len(rows) else key
+                keys, buckets, real = [met], [np.zeros(len(met), np.uint64)], [np.zeros(len(met), bool)]
+                own = rows[first]
+                alone = np.r_[True, own["anchor"][1:] != own["anchor"][:-1]][: len(own)]
+                alone &= np.r_[alone[1:], True][: len(own)]
+                own = own[~alone]
+                base = mix(own["anchor"].astype(np.uint64))
+                for i, j in itertools.combinations(range(hashes), 2):
+                    band = base ^ (own["least"][:, i].astype(np.uint64) << np.uint64(16) | own["least"][:, j]) ^ np.uint64((i * hashes + j) << 40)
+                    bucket, some = _buckets(mix(band), own["key"])
+                    keys.append(some)
+                    buckets.append(bucket)
+                    real.append(np.ones(len(some), bool))
+                pair = np.unique(np.stack([np.concatenate(keys), np.concatenate(buckets), np.concatenate(real).astype(np.uint64)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([signed(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64), mask=pair[:, 2] == 0)], ["key", "bucket"])
 
     return collisions
 
 
-def _sets(min_words: int, shingle: int, wanted: object | None, windows: bool, whole: bool):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, shingles) of the wanted lines, or of the wanted windows (4 bytes of each hash), of each once in a task."""
-        done: set[int] = set()
-        names = None if wanted is None else wanted.value
+def _wanted(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which keys are among the names, which are sorted."""
+    if not len(names):
+        return np.zeros(len(keys), bool)
+    return names[np.minimum(np.searchsorted(names, keys), len(names) - 1)] == keys
+
+
+def _places(how: tuple, wanted: object | None, near: object | None):
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, body, begin, around, shingles): where the wanted paragraphs stand, and the sets of those that are to be compared.
+
+        A row without a key tells the number of words of a text.
+        """
+        told = Recent(20)
+        for p, body in _cut(batches, how):
+            key = p.key.view(np.int64)
+            at = np.arange(len(key)) if wanted is None else np.flatnonzero(_wanted(key, wanted.value))
+            sets: list[bytes | None] = [None] * len(at)
+            if near is not None:
+                _, one = np.unique(key[at], return_index=True)
+                one = one[_wanted(key[at[one]], near.value)]
+                one = one[told.new(p.key[at[one]])]
+                for n, s in zip(one.tolist(), p.sets(at[one])):
+                    sets[n] = np.unique(s).tobytes()
+            texts = np.flatnonzero(p.words >= how[1])
+            count = len(texts)
+            mask = np.arange(len(at) + count) >= len(at)
+            around = [x.tobytes() for x in p.around(at, how[0] - how[1])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[key[at], np.zeros(count, np.int64)], mask=mask), signed(np.r_[body[p.row[at]], body[texts]]), pa.array(np.r_[p.begin[at], p.words[texts]].astype(np.int32)),
+                    pa.array([*around, *[None] * count], pa.binary()), pa.array([*sets, *[None] * count], pa.binary()),
+                ],
+                ["key", "body", "begin", "around", "shingles"],
+            )
+
+    return places
+
+
+def _picked(how: tuple):
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, shingles) of (text, keys)."""
+        for batch in batches:
+            raw, lists = as_bytes(batch.column(0)), batch.column(1).to_pylist()
+            for text, keys in zip(raw, lists):
+                p = Paragraphs([text], *how)
+                names, one = np.unique(p.key.view(np.int64), return_index=True)
+                one = one[_wanted(names, np.sort(np.array(keys, np.int64)))]
+                yield pa.RecordBatch.from_arrays([signed(p.key[one]), pa.array([np.unique(s).tobytes() for s in p.sets(one)], pa.binary())], ["key", "shingles"])
+
+    return picked
+
+
+def _extended(most: int):
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(whole, body, begin) of (key, body, begin, around): a hash of each passage of ``most`` more words that holds the paragraph."""
         for batch in batches:
-            raw = as_bytes(batch.column(0))
-            for i, j in slices(raw, PIECE_BYTES):
-                p = Paragraphs(raw[i:j], min_words, shingle, whole)
-                skip = p.paragraphs if windows else 0
-                own = p.near[skip:] if windows else p.near[p.near < p.paragraphs]
-                keys, one = np.unique(p.key[own].view(np.int64), return_index=True)
-                one = one + skip
-                if names is not None:
-                    one = one[_wanted(keys, names)]
-                out = []
-                starts = np.r_[0, p.ends[:-1]]
-                for n in one.tolist():
-                    key = int(p.key[p.near[n]].view(np.int64))
-                    if key not in done:
-                        if names is not None:
-                            done.add(key)
-                        own = p.shingles[starts[n] : p.ends[n]]
-                        out.append((key, np.unique(own.astype(np.uint32) if windows else own).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["key", "shingles"])
-
-    return sets
+            key = batch.column(0).to_numpy().view(np.uint64)
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, 2 + 4 * most)
+            near = np.ascontiguousarray(raw[:, 2:]).view(np.uint16).astype(np.uint64)
+            whole, row = [], []
+            for left in range(most + 1):
+                some = np.flatnonzero((raw[:, 0] >= left) & (raw[:, 1] >= most - left))
+                h = mix(key[some] ^ np.uint64(left + 1))
+                for k in range(most - left, 2 * most - left):
+                    h = mix(h * np.uint64(_STEP) + near[some, k])
+                whole.append(h)
+                row.append(some)
+            at = np.concatenate(row)
+            rest = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(whole)), rest.column(1), rest.column(2)], ["whole", "body", "begin"])
+
+    return extended
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -298,6 +295,9 @@ def similar(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     A search from each set in turn: every set that is reached is compared with all that aren't yet. So
     each component is found whole, and a group of close copies costs one comparison for each of them.
     """
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if both and both >= threshold * (len(sets[0]) + len(sets[1]) - both) - 1e-9 else []
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, values = np.unique(np.concatenate(sets), return_inverse=True)
@@ -324,199 +324,149 @@ def similar(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _line_edges(threshold: float):
-    def line_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b, before): similar lines; and with before, paragraphs of several lines and a similar one that comes before."""
-        for table in groups_of(batches, "bucket"):
-            bucket, key, text, begin, words, single = (table.column(c).to_numpy() for c in ("bucket", "key", "place", "begin", "words", "single"))
-            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+def _edges(threshold: float):
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b): edges that connect the similar paragraphs of each cell."""
+        for table in groups_of(batches, "cell"):
+            cell, key = table.column("cell").to_numpy(), table.column("key").to_numpy()
+            sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
             a, b = [], []
-            own = np.flatnonzero(single)
-            first = np.flatnonzero(np.r_[True, bucket[own][1:] != bucket[own][:-1]][: len(own)])
-            for i, j in itertools.pairwise([*first.tolist(), len(own)]):
+            for i, j in itertools.pairwise([*np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist(), len(cell)]):
                 if j - i > 1:
-                    for x, y in similar([sets[n] for n in own[i:j]], threshold):
-                        a.append(key[own[i + x]])
-                        b.append(key[own[i + y]])
-            at = np.zeros(0, np.int64)
-            if not single.all():
-                hit = earlier(bucket, sets, text, begin, begin + words, threshold)
-                at = np.flatnonzero((hit >= 0) & ~single)
-                a, b = [*a, *key[at]], [*b, *key[hit[at]]]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.arange(len(a)) >= len(a) - len(at))], ["a", "b", "before"])
-
-    return line_edges
+                    for x, y in similar(sets[i:j], threshold):
+                        a.append(key[i + x])
+                        b.append(key[i + y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    return edges
 
-def earlier(group: np.ndarray, sets: list[np.ndarray], text: np.ndarray, begin: np.ndarray, end: np.ndarray, threshold: float) -> np.ndarray:
-    """For each set the row of the first in its group that is similar, stands before it and doesn't overlap it, or -1.
 
-    Rows come by group and place; text, begin and end say where a set stands. In each round the next set
-    of every group is compared with those after it that have found none, so that close copies take one round.
-    """
-    n = len(sets)
-    sizes = np.array([len(x) for x in sets])
-    values = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    ends = np.cumsum(sizes)
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[:n]
-    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
-    hit, left, k = np.full(n, -1), np.arange(n), 0
-    while True:
-        left = left[(hit[left] < 0) & (left > first[of[left]] + k)]
-        if not len(left):
-            return hit
-        seeds = np.unique(of[left])
-        rows = [first[seeds] + k, left]
-        flat = []
-        for r in rows:
-            owner = np.repeat(r, sizes[r])
-            at = np.repeat(ends[r] - np.cumsum(sizes[r]), sizes[r]) + np.arange(len(owner))
-            flat.append(values[at] ^ mix(of[owner].astype(np.uint64) + np.uint64(1)))
-        known = np.sort(flat[0])
-        same = known[np.minimum(np.searchsorted(known, flat[1]), len(known) - 1)] == flat[1]
-        both = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes[left]) - sizes[left])
-        seed = first[of[left]] + k
-        near = (both >= threshold * (sizes[left] + sizes[seed] - both) - 1e-9) & ~((text[left] == text[seed]) & (begin[left] < end[seed]))
-        hit[left[near]] = seed[near]
-        k += 1
-
-
-def _preceded(threshold: float):
-    def preceded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, before): of each key that comes after a similar one in its bucket; rows come by bucket and place."""
-        for table in groups_of(batches, "bucket"):
-            bucket, key, text, begin, words = (table.column(c).to_numpy() for c in ("bucket", "key", "place", "begin", "words"))
-            sets = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in table.column("shingles").to_pylist()]
-            hit = earlier(bucket, sets, text, begin, begin + words, threshold)
-            at = np.flatnonzero(hit >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(key[hit[at]])], ["key", "before"])
-
-    return preceded
-
-
-def _shared(names: DataFrame, most: int, kind: type = np.int64) -> object | None:
+def _shared(names: DataFrame, most: int) -> object | None:
     """The sorted keys as a broadcast, or None if there are more than ``most``."""
     some = names.limit(most + 1).toArrow().column("key").to_numpy()
-    return names.sparkSession.sparkContext.broadcast(np.sort(some.astype(kind))) if len(some) <= most else None
-
-
-def collisions(texts: DataFrame, min_words: int, shingle: int, threshold: float, rows: int, recall: float, windows: bool) -> DataFrame:
-    """(bucket, key, window): the pieces of texts(text) that share a band."""
-    parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = bands(threshold, WINDOW_ROWS, recall) if windows else 0
-    banded = texts.mapInArrow(_banded(min_words, shingle, bands(threshold, rows, recall), rows, parts, count), "part int, pairs binary")
-    met = banded.repartition(parts // 4, "part").sortWithinPartitions("part").mapInArrow(_collisions(parts, count), "bucket bigint, key bigint, window boolean")
-    return checkpointed(met.distinct())
+    return names.sparkSession.sparkContext.broadcast(np.sort(some)) if len(some) <= most else None
 
 
-def _apart(met: DataFrame, keys: DataFrame) -> DataFrame:
-    """met without the buckets of which all pieces overlap each other in one text, as none of them can be a copy of another."""
-    spots = met.join(keys.select("key", "least", "words").hint("shuffle_hash"), "key")
-    text, begin = F.xxhash64("least.doc", "least.body"), F.col("least.begin")
-    some = spots.groupBy("bucket").agg(F.min(text).alias("t"), F.max(text).alias("u"), F.max(begin).alias("last"), F.min(begin + F.col("words")).alias("end"))
-    some = some.where("t <> u OR last >= end").select("bucket")
-    return checkpointed(met.join(some.hint("shuffle_hash"), "bucket", "left_semi"))
-
-
-def shingle_sets(met: DataFrame, texts: DataFrame, min_words: int, shingle: int, shared: object | None, windows: bool, whole: bool) -> DataFrame:
-    """(bucket, key, shingles) of the collisions ``met`` of lines, or of windows."""
-    met = met.where(F.col("window") == windows).select("bucket", "key")
-    sets = texts.mapInArrow(_sets(min_words, shingle, shared, windows, whole), "key bigint, shingles binary")
-    one = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))  # equal keys have equal sets
-    return met.join(one.hint("shuffle_hash"), "key").select("bucket", "key", "shingles")
-
-
-def repeated_paragraphs(
-    df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, shingle: int = SHINGLE, min_jaccard: float = MIN_JACCARD, rows: int = BAND_ROWS, recall: float = RECALL, broadcast_ids: int = BROADCAST_IDS, whole: bool = False
+def repeated_passages(
+    df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, window: int = WINDOW, shingle: int = SHINGLE, min_jaccard: float = MIN_JACCARD, hashes: int = HASHES, broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK
 ) -> DataFrame:
-    """(doc, body, at, lines, words, keep_doc, keep_body, keep_at): every paragraph that goes, and the one of its group that stays.
-
-    A paragraph is a line of at least ``min_words`` words (runs without ASCII white space; ASCII letters
-    in lower case); a shorter line begins one with the fewest lines after it that make up as many words.
-    So any repeated passage of whole lines and 2 min_words words holds one, whatever stands around it.
-    Paragraphs with the same words are copies, and so are two lines if the Jaccard similarity of their sets
-    of ``shingle`` words in a row is at least ``min_jaccard``. Groups are the components of that relation
-    over the pairs that banding brings together, and the first of a group by (doc_id, text hash, line)
-    stays, null ids first. Equal paragraphs always meet; other lines meet with the probability
-    1 - (1 - j^rows)^bands(), which is ``recall`` at the threshold and rises to 0.99 at 0.6. Nothing less
-    similar is ever paired.
-
-    ``whole`` adds the windows, which are ``min_words`` words at an anchor, whatever the ends of lines: any
-    repeated passage of 2 min_words words holds one. A window goes if an equal or, by the same threshold,
-    similar one stands before it and doesn't overlap it. Similar windows meet if they share their anchor, then
-    with the probability ``recall`` at the threshold; equal ones always meet. Paragraphs of several lines are
-    banded as lines are, and go as windows do, so that those that overlap are never taken for copies. The columns word and keep_word
-    say with which word of its line a piece begins (0 for paragraphs).
-
-    Nulls and empty texts have no paragraphs; neither have texts of fewer words. Rows that repeat both id
-    and text are one document; rows that share an id but not a text are two. Copies within one
-    document count, overlapping ones too, except windows. An empty table gives no rows. Only the named columns are read.
+    """(doc, body, begin, words, keep_doc, keep_body): every passage that goes, and the documents in which a copy stays.
+
+    A passage is a run of words (runs of bytes without ASCII white space; ASCII letters in lower case) that is
+    covered by paragraphs of a class that an earlier document holds too; begin counts from the text's first word.
+    It is reported if it has ``min_words`` words, or if with its neighbours it has so many in common with another
+    document, word for word. There is a row for each document that keeps a copy of one of its paragraphs.
+    Two paragraphs are of one class if they are equal, or if they share the anchor and the Jaccard similarity of
+    their sets of ``shingle`` words in a row is at least ``min_jaccard``, or by a chain of such pairs. Of each
+    class all paragraphs of the first document stay, by (doc_id, text hash), null ids first.
+
+    Any passage of ``min_words`` words that two documents share word for word is found, whatever stands around
+    it. Similar paragraphs with the same anchor meet with the probability ``recall``; equal ones always do. Nothing
+    less similar is ever paired, and what is equal word for word but shorter isn't reported.
+
+    Ties: equal texts are one text, whose least id is the document; each other id with that text goes whole, in
+    one row. Rows that repeat both id and text are one document; rows that share an id but not a text are two.
+    Repeats within one document are not reported. Nulls, empty texts and texts of fewer than ``window`` words
+    have no paragraphs. Very long texts are taken whole. An empty table gives no rows. Only the named columns
+    are read, so others can't clash.
     """
-    docs = df.select(col(text).cast("string").alias("text"), col(doc_id).cast("bigint").alias("doc"), F.xxhash64(col(text).cast("string")).alias("body"))
-    texts = docs.select("text")
-    met = collisions(texts, min_words, shingle, min_jaccard, rows, recall, whole)
-    twice = texts.mapInArrow(_keys(min_words, shingle, whole), "key bigint, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    names = checkpointed(met.select("key").union(twice).distinct())
-    shared = _shared(names.select(F.shiftrightunsigned("key", 32).alias("key")).distinct(), broadcast_ids, np.uint32)
-    # nearly all pieces that were met once, without others in their bands, leave here; the rest is harmless
-    found = docs.mapInArrow(_found(min_words, shingle, whole, shared), "key bigint, doc bigint, body bigint, begin int, at int, word int, lines int, words int, window boolean")
-    if shared is None:
-        found = found.join(names.hint("shuffle_hash"), "key", "left_semi")
-    found = checkpointed(found.distinct())
-    place = F.struct("doc", "body", "begin", "at", "word")
-    keys = found.groupBy("key").agg(F.min(place).alias("least"), F.first("words").alias("words"), F.bool_or(~F.col("window") & (F.col("lines") == 1)).alias("single"))
-    keys = checkpointed(keys)
-    if whole:
-        met = _apart(met, keys)
-    near = met.where("window").select("key").distinct() if whole else None
-    lines = met.where("NOT window").select("key").distinct()
-    order = ["bucket", "doc", "body", "begin", "key"]
-    spot = ["least.doc", "least.body", "least.begin", "words", F.xxhash64("least.doc", "least.body").alias("place")]
-    lines = shingle_sets(met, texts, min_words, shingle, _shared(lines, broadcast_ids), False, whole).join(keys.hint("shuffle_hash"), "key").select("bucket", "key", "shingles", "single", *spot)
-    edges = checkpointed(lines.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_line_edges(min_jaccard), "a bigint, b bigint, before boolean"))
-    roots = components(edges.where("NOT before").select("a", "b"))
-    member = keys.join(roots.hint("shuffle_hash"), F.col("key") == F.col("node"), "left").select("key", "least", "single", F.coalesce("root", "key").alias("root"))
-    keep = member.groupBy("root").agg(F.min("least").alias("keep"))
-    member = member.join(keep, "root").select("key", "least", "single", "keep")
-    if whole:
-        sets = shingle_sets(met, texts, min_words, shingle, _shared(near, broadcast_ids), True, True).join(keys.hint("shuffle_hash"), "key")
-        spots = sets.select("bucket", "key", "shingles", *spot).repartition("bucket").sortWithinPartitions(*order)
-        hits = spots.select("bucket", "key", "shingles", "place", "begin", "words").mapInArrow(_preceded(min_jaccard), "key bigint, before bigint")
-        hits = hits.unionByName(edges.where("before").select(F.col("a").alias("key"), F.col("b").alias("before")))
-        hits = hits.join(keys.select(F.col("key").alias("before"), F.col("least").alias("spot")).hint("shuffle_hash"), "before").groupBy("key").agg(F.min("spot").alias("before"))
-        member = member.join(hits.hint("shuffle_hash"), "key", "left")
+    if not shingle <= window <= min_words:
+        raise ValueError("a shingle must fit into a window, and that into the passages")
+    how, spark = (min_words, window, shingle), df.sparkSession
+    docs = df.select(col(text).cast("string").alias("text"), col(doc_id).cast("bigint").alias("doc"), F.xxhash64(col(text).cast("string")).alias("body")).where("text IS NOT NULL")
+    texts = docs.select("text", "body")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = texts.mapInArrow(_banded(how, hashes, parts), "part int, records binary")
+    met = checkpointed(sent.repartition(parts // 4, "part").sortWithinPartitions("part").mapInArrow(_collisions(hashes), "key bigint, bucket bigint"))
+    names, near = met.select("key").distinct(), met.where("bucket IS NOT NULL").select("key").distinct()
+    wanted = _shared(names, broadcast_ids)
+    shape = "key bigint, body bigint, begin int, around binary, shingles binary"
+    if wanted is not None:
+        found = checkpointed(texts.mapInArrow(_places(how, wanted, _shared(near, broadcast_ids)), shape))
+        sets = found.where("shingles IS NOT NULL").groupBy("key").agg(F.first("shingles").alias("shingles"))  # equal keys have equal sets
     else:
-        member = member.withColumn("before", F.lit(None).cast(member.schema["least"].dataType))
-    out = found.join(member.hint("shuffle_hash"), "key")
-    own = F.struct("doc", "body", "begin", "at", "word")
-    apart = ~((F.col("doc").eqNullSafe(F.col("least.doc"))) & (F.col("body") == F.col("least.body")) & (F.col("begin") < F.col("least.begin") + F.col("words")))
-    goes = F.when(F.col("window"), F.when(F.col("before").isNotNull(), F.col("before")).when(apart, F.col("least"))).when(~own.eqNullSafe(F.col("keep")), F.col("keep")).when(~F.col("single"), F.col("before"))
-    out = out.withColumn("goes", goes).where("goes IS NOT NULL")
-    return out.select("doc", "body", "at", "lines", "words", F.col("goes.doc").alias("keep_doc"), F.col("goes.body").alias("keep_body"), F.col("goes.at").alias("keep_at"), "word", F.col("goes.word").alias("keep_word")).distinct()
+        found = texts.mapInArrow(_places(how, None, None), shape)
+        found = checkpointed(found.join(names, "key", "left_semi").unionByName(found.where("key IS NULL")))
+        one = found.join(near, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body")).groupBy("body").agg(F.collect_list("key").alias("keys"))
+        sets = texts.dropDuplicates(["body"]).join(one, "body").select("text", "keys").mapInArrow(_picked(how), "key bigint, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    pairs = met.where("bucket IS NOT NULL").distinct()
+    cells = blocked(pairs, "bucket", "key", block).join(sets, "key").select("cell", "key", "shingles")
+    edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(min_jaccard), "a bigint, b bigint")
+    roots = components(edges)
+
+    bodies = docs.groupBy("body").agg(F.min(F.struct("doc")).alias("first"), F.max(F.struct("doc")).alias("last"))
+    bodies = checkpointed(bodies)
+    spots = found.where("key IS NOT NULL").select("key", "body", "begin").distinct().join(bodies.select("body", "first"), "body")
+    keys = spots.groupBy("key").agg(F.min(F.struct("first", "body")).alias("least")).join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    keep = keys.groupBy("root").agg(F.min("least").alias("keep"))
+    goes = spots.join(keys.join(keep, "root").select("key", "keep"), "key").where(F.col("body") != F.col("keep.body"))
+    goes = checkpointed(islands(goes.select("key", "body", "begin", "keep"), window))
+    doubtful = goes.where(F.col("words") < min_words)
+    again = found.select("key", "body", "begin", "around").join(doubtful.select("key").distinct(), "key", "left_semi").mapInArrow(_extended(min_words - window), "whole bigint, body bigint, begin int")
+    again = again.join(bodies.select("body", "first"), "body")
+    whole = again.groupBy("whole").agg(F.min(F.struct("first", "body")).alias("other"), F.max("body").alias("most"), F.min("body").alias("least")).where("most <> least").select("whole", "other")
+    sure = again.join(whole, "whole").where(F.col("body") != F.col("other.body")).groupBy("body", "begin").agg(F.min("other").alias("other"))
+    told = doubtful.join(sure, ["body", "begin"]).select("body", "start", "words", F.col("other").alias("keep"))
+    passages = goes.where(F.col("words") >= min_words).select("body", "start", "words", "keep").unionByName(told).distinct().withColumnRenamed("start", "begin")
+    parted = passages.join(bodies.select("body", "first"), "body").select(F.col("first.doc").alias("doc"), "body", "begin", "words", F.col("keep.first.doc").alias("keep_doc"), F.col("keep.body").alias("keep_body"))
+
+    sizes = found.where("key IS NULL").groupBy("body").agg(F.max("begin").alias("words"))
+    twice = bodies.where(~F.col("first").eqNullSafe(F.col("last"))).join(sizes, "body").select("body", "first", "words")
+    copies = docs.select("doc", "body").join(twice, "body").where(~F.col("doc").eqNullSafe(F.col("first.doc"))).distinct()
+    return parted.unionByName(copies.select("doc", "body", F.lit(0).alias("begin"), "words", F.col("first.doc").alias("keep_doc"), F.col("body").alias("keep_body")))
+
+
+def islands(goes: DataFrame, window: int) -> DataFrame:
+    """rows (body, begin, ...) with start and words of the passage that they make up: paragraphs that touch or overlap are one."""
+    order = Window.partitionBy("body").orderBy("begin")
+    new = F.coalesce(F.col("begin") > F.lag("begin").over(order) + window, F.lit(True))
+    number = F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    whole = Window.partitionBy("body", "nth")
+    rows = goes.withColumn("new", new).withColumn("nth", number).withColumn("start", F.min("begin").over(whole))
+    return rows.withColumn("words", F.max("begin").over(whole) - F.col("start") + window).drop("new", "nth")
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the words from begin to end of each span; the white space around them stays."""
+    raw = text.encode()
+    starts, ends = word_spans(np.frombuffer(raw, np.uint8))
+    out, done = [], 0
+    for begin, end in sorted(spans):
+        low = int(starts[begin])
+        if low > done:
+            out.append(raw[done:low])
+        done = max(done, int(ends[end - 1]))
+    return b"".join([*out, raw[done:]]).decode()
+
+
+def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars", **how: object) -> DataFrame:
+    """df without the passages that ``repeated_passages`` names; documents of which only white space is left go.
+
+    Other columns pass through, whatever their names; n_chars is set anew where passages went. Null, empty and
+    blank texts stay as they are.
+    """
 
+    @F.pandas_udf("string")
+    def shortened(texts, begins, ends):
+        import pandas as pd
 
-def dedup_paragraphs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars", **how: object) -> DataFrame:
-    """df without the lines of the paragraphs that ``repeated_paragraphs`` names; documents of which no line is left go.
+        return pd.Series([t if b is None else cut(t, list(zip(b, e))) for t, b, e in zip(texts, begins, ends)], dtype=object)
 
-    Other columns pass through, whatever their names; n_chars is set anew where paragraphs went. Null and
-    empty texts stay.
-    """
-    gone = repeated_paragraphs(df, text, doc_id, **how).select("doc", "body", F.explode(F.sequence("at", F.col("at") + F.col("lines") - 1)).alias("at")).groupBy("doc", "body").agg(F.collect_set("at").alias("gone"))
+    shortened.func.__annotations__ = {}
+    gone = repeated_passages(df, text, doc_id, **how).groupBy("doc", "body").agg(F.collect_set(F.struct("begin", (F.col("begin") + F.col("words")).alias("end"))).alias("gone"))
     names, n = df.columns, len(df.columns)
     t, d = names.index(text), names.index(doc_id)
     plain = df.toDF(*[f"c{i}" for i in range(n)])
     same = F.col(f"c{d}").cast("bigint").eqNullSafe(F.col("doc")) & (F.xxhash64(F.col(f"c{t}").cast("string")) == F.col("body"))
     both = plain.join(gone.hint("shuffle_hash"), same, "left")
-    lines = F.split(F.col(f"c{t}").cast("string"), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    new = F.when(F.col("gone").isNull(), F.col(f"c{t}").cast("string")).otherwise(F.array_join(left, "\n"))
-    both = both.where(F.col("gone").isNull() | (F.size(left) > 0)).withColumn("new", new)
+    both = both.withColumn("new", shortened(F.col(f"c{t}").cast("string"), F.col("gone.begin"), F.col("gone.end")))
+    both = both.where(F.col("gone").isNull() | F.col("new").rlike(r"[^\t\n\x0b\x0c\r\x1c-\x1f ]"))
     at = names.index(n_chars) if n_chars in names else -1
     columns = [F.col("new") if i == t else F.when(F.col("gone").isNull(), F.col(f"c{i}")).otherwise(F.length("new").cast(df.schema[i].dataType)) if i == at else F.col(f"c{i}") for i in range(n)]
     return both.select(*[c.alias(f"r{i}") for i, c in enumerate(columns)]).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line, lines, words, copy_of, copy_line, word, copy_word): every repeated paragraph or window, and the one that stays."""
-    found = repeated_paragraphs(read(spark, sf_dir, "documents"), whole=True)
-    return found.select(F.col("doc").alias("doc_id"), F.col("at").alias("line"), "lines", "words", F.col("keep_doc").alias("copy_of"), F.col("keep_at").alias("copy_line"), "word", F.col("keep_word").alias("copy_word"))
+    """(doc_id, first_word, n_words, copy_of): every passage that a document repeats, and the documents that keep parts of it."""
+    found = repeated_passages(read(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("begin").alias("first_word"), F.col("words").alias("n_words"), F.col("keep_doc").alias("copy_of"))

@@ -96,6 +96,38 @@ def ragged(lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens, lens)
 
 
+class Recent:
+    """Remembers the last hash of each of its slots, in bounded memory: what is frequent is known when it comes again.
+
+    What is rare may be forgotten, so use it only where a repeat costs time but changes nothing.
+    """
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.slots = np.arange(1 << bits, dtype=np.uint64) ^ np.uint64(1)  # none of these falls in its slot
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of these distinct hashes aren't remembered; all are from now on."""
+        at = hashes & self.mask
+        fresh = self.slots[at] != hashes
+        self.slots[at] = hashes
+        return fresh
+
+
+def blocked(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
+    """rows(group, member) with a column cell, so that each pair of members of a group meets in some cell.
+
+    A group of up to ``most`` members is one cell. A larger one is cut into blocks by a hash of its
+    members, and every two blocks make a cell; so no cell has more than about 2 ``most`` members.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks")).where("blocks > 1")
+    own = rows.join(sizes, group, "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")))
+    other = F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = own.withColumn("other", F.explode(other))
+    cell = F.when(F.col("blocks").isNull(), F.col(group)).otherwise(F.xxhash64(F.col(group), F.least("own", "other"), F.greatest("own", "other")))
+    return spread.withColumn("cell", cell).drop("blocks", "own", "other")
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"
@@ -109,16 +141,25 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, kept in the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the cluster names in spark.checkpoint.dir.
 
-    Only where spark.checkpoint.dir is unset, as in tests, a folder of our own is set.
+    Only on a local master, as in tests, a temporary one is made where none is named; a cluster without one is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="fieldspark-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, kept in the ``shared_folder``."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldspark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -87,27 +87,17 @@ def roots(n: int, pairs: list[tuple[int, int]]) -> list[int]:
     return [find(a) for a in range(n)]
 
 
-def paragraph_groups(docs: list[tuple[int, str]], min_words: int, shingle: int, threshold: float) -> set[tuple[int, int, int, int]]:
-    """(doc, line, kept doc, kept line) of (doc_id, text), ids unique."""
-    found = []
+def repeated_runs(docs: list[tuple[int, str]], size: int) -> dict[int, list[tuple[int, int]]]:
+    """By document of (doc_id, text), ids unique: each place of a run of so many words that an earlier document holds, and the first that does."""
+    first: dict[tuple, int] = {}
+    out: dict[int, list] = {}
     for d, text in sorted(docs):
-        lines = [words(x) for x in text.split("\n")]
-        for i, line in enumerate(lines):
-            w, j = list(line), i
-            while w and len(w) < min_words and j + 1 < len(lines):
-                j += 1
-                w += lines[j]
-            if w and len(w) >= min_words:
-                found.append((d, i, {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if i == j else set(), tuple(w)))
-    holders, equal, pairs = defaultdict(list), {}, []
-    for n, (_, _, s, w) in enumerate(found):
-        pairs.append((n, equal.setdefault(w, n)))
-        both = Counter(m for g in s for m in holders[g])
-        pairs += [(n, m) for m, c in both.items() if c / (len(s) + len(found[m][2]) - c) >= threshold]
-        for g in s:
-            holders[g].append(n)
-    root = roots(len(found), pairs)
-    return {(*found[n][:2], *found[root[n]][:2]) for n in range(len(found)) if root[n] != n}
+        w = words(text)
+        for i in range(len(w) - size + 1):
+            e = first.setdefault(tuple(w[i : i + size]), d)
+            if e != d:
+                out.setdefault(d, []).append((i, e))
+    return out
 
 
 def chat(events: list[tuple]) -> list[tuple[int, str | None, str]]:

@@ -15,7 +15,7 @@ FILTERS = {
     "quality": quality.quality_rules,
     "lines": linededup.dedup_lines,
     "simhash": simhash.near_dedup,
-    "paragraphs": passages.dedup_paragraphs,
+    "passages": passages.dedup_passages,
 }
 
 
@@ -158,83 +158,80 @@ def test_myers_equals_dynamic_programming():
         assert decontaminate.myers(decontaminate.pattern_masks(a), len(a), b)[0] == brute.least_distance(a, b)
 
 
-def test_paragraphs_equal_brute_force(spark, corpus):
-    rng = random.Random(4)
-    docs = [(d, t) for d, t, _ in corpus]
-    lines = [x for _, t in docs for x in t.split("\n") if len(x.split()) >= 40][:20]
-    for k, line in enumerate(lines * 3):
-        w = line.split()
-        for _ in range(k % 4):
-            w[rng.randrange(len(w))] = "changed"
-        docs.append((10_000 + k, f"head {k}\n{' '.join(w)}\ntail"))
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    want = brute.paragraph_groups(docs, passages.MIN_WORDS, passages.SHINGLE, passages.MIN_JACCARD)
-    for limit in (passages.BROADCAST_IDS, 0):
-        found = passages.repeated_paragraphs(df, broadcast_ids=limit).collect()
-        got = {(r.doc, r["at"], r.keep_doc, r.keep_at) for r in found}
-        assert {g[:2] for g in got} <= {w[:2] for w in want}
-        assert len(got & want) >= 0.97 * len(want)
-    assert len(want) > 60
-
-
-def test_passages_of_short_lines(spark):
-    passage = [" ".join(f"p{k}x{i}" for i in range(17)) for k in range(3)]
-    docs = [(1, "\n".join(["alone one", *passage, "tail"])), (2, "\n".join(["other", "", *passage[:2], "", passage[2], "end"])), (3, passage[0] + "\nnot the rest")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc, r["at"], r.lines, r.words, r.keep_doc, r.keep_at) for r in passages.repeated_paragraphs(df).collect()}
-    assert got == {(2, 2, 2, 34, 1, 1), (2, 3, 3, 34, 1, 2)}
-    assert {r.doc_id: r.text for r in passages.dedup_paragraphs(df).collect()}[2] == "other\n\nend"
+def _spread(rng, tag, n):
+    return [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
 
 
-def test_paragraphs_awkward(awkward, empty):
-    got = {(r.doc, r.keep_doc, r["at"]) for r in passages.repeated_paragraphs(awkward).collect()}
-    assert got == {(4, None, 0), (5, None, 0)}
-    out = passages.dedup_paragraphs(awkward).where("text like 'w0 %'").collect()
-    assert [r.doc_id for r in out] == [None]
-    assert passages.repeated_paragraphs(empty).count() == 0
-    assert passages.bands(1.0) == 1 and 1 - (1 - 0.5**3) ** passages.bands(0.5, 3, 0.95) >= 0.95
+@pytest.mark.parametrize("limit", (passages.BROADCAST_IDS, 0))
+def test_passages_against_all_runs_of_words(spark, corpus, limit):
+    """Every run of 51 words that an earlier document holds is covered; documents without a run of 30 stay out."""
+    rng = random.Random(4)
+    docs = [(d, t) for d, t, _ in corpus]
+    for k in range(60):  # passages inside lines, across lines, and cut off by the end of the text
+        own = _spread(rng, f"p{k % 20}x", 0) + [f"p{k % 20}x{i}" for i in range(51 + k % 20)]
+        words = [*_spread(rng, "a", rng.randrange(50)), *own, *_spread(rng, "b", rng.randrange(50) * (k % 3 > 0))]
+        docs.append((10_000 + k, "".join(w + rng.choice("    \n") for w in words)))
+    runs = brute.repeated_runs(docs, 51)
+    strangers = {d for d, _ in docs} - set(brute.repeated_runs(docs, 30)) - {e for x in brute.repeated_runs(docs, 30).values() for _, e in x}
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), broadcast_ids=limit).collect()
+    assert len(runs) > 40 and len(strangers) > 50
+    covered = {}
+    for r in found:
+        covered.setdefault(r.doc, set()).update(range(r.begin, r.begin + r.words))
+        assert r.keep_doc < r.doc and r.words <= len(brute.words(dict(docs)[r.doc]))
+    for d, places in runs.items():
+        assert all(covered[d] & set(range(i, i + 51)) for i, _ in places)
+    assert not strangers & ({r.doc for r in found} | {r.keep_doc for r in found})
+
+
+def test_passages_word_for_word_are_exactly_those_long_enough(spark):
+    rng = random.Random(8)
+    docs = []
+    for k in range(80):
+        shared = [f"s{k // 2}x{i}" for i in range(38 + k // 2)]
+        docs.append((k, " ".join(_spread(rng, "a", 60) + shared + _spread(rng, "b", 40))))
+    got = {(r.doc, r.keep_doc) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), min_jaccard=1.0).collect()}
+    assert got == {(k, k - 1) for k in range(80) if k % 2 and 38 + k // 2 >= passages.MIN_WORDS}
 
 
-def test_passages_inside_longer_lines(spark):
-    rng = random.Random(8)
-    unlike = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
-    docs, near = [], []
-    for k in range(30):
-        shared = unlike(f"s{k}x", 50)
-        changed = [w if i % 24 != 12 else "changed" for i, w in enumerate(unlike(f"n{k}x", 72))]
-        again = [w if i % 24 != 12 else "other" for i, w in enumerate(changed)]
-        for side, passage in ((0, changed), (1, again)):
-            words = unlike("a", 60) + shared + unlike("b", 40) + passage + unlike("c", 30)
-            cut = 5 * side + 70
-            docs.append((2 * k + side, " ".join(words[:cut]) + "\n" + " ".join(words[cut:])))
-        near.append(2 * k + 1)
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    assert passages.repeated_paragraphs(df).count() == 0
-    for limit in (passages.BROADCAST_IDS, 0):
-        rows = passages.repeated_paragraphs(df, whole=True, broadcast_ids=limit).collect()
-        texts = dict(docs)
-        hit, blurred = set(), set()
-        for r in rows:
-            assert r.doc % 2 == 1 and r.keep_doc == r.doc - 1 and r.words == 25
-            begin = len(texts[r.doc].split("\n")[0].split()) * r["at"] + r.word
-            now = texts[r.doc].split()[begin : begin + 25]
-            (blurred if "other" in now else hit).add(r.doc)
-        assert hit == set(near) and len(blurred) >= 20
-
-
-def test_windows_of_one_document(spark):
-    words = [f"w{i}" for i in range(200)]
-    rows = passages.repeated_paragraphs(spark.createDataFrame([(1, " ".join(words)), (2, "a " * 500)], "doc_id long, text string"), whole=True).collect()
-    assert {r.doc for r in rows} == {2} and all(r.word >= 25 for r in rows)
-
-
-def test_near_copies_of_short_lines(spark):
+def test_passages_with_edits(spark):
+    rng = random.Random(9)
     docs = []
-    for k in range(20):
-        lines = [[f"p{k}x{i}y{j}" for j in range(9)] for i in range(8)]
-        other = [[w if (i % 2, j) != (0, 4) else "changed" for j, w in enumerate(x)] for i, x in enumerate(lines)]
-        docs += [(2 * k + side, "\n".join(map(" ".join, x))) for side, x in enumerate((lines, other))]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert passages.repeated_paragraphs(df).count() == 0
-    rows = passages.repeated_paragraphs(df, whole=True).where("lines > 1 AND word = 0 AND words > 25").collect()
-    assert {(r.doc, r.keep_doc) for r in rows} == {(2 * k + 1, 2 * k) for k in range(20)}
+    for k in range(60):
+        for side in range(2):
+            passage = [f"n{k}x{i}" if not side or i % 30 != 15 else "other" for i in range(120)]
+            docs.append((2 * k + side, " ".join(_spread(rng, "a", 60) + passage + _spread(rng, "c", 30))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert passages.repeated_passages(df, min_jaccard=1.0).count() == 0
+    for block in (passages.BLOCK, 1):
+        got = {(r.doc, r.keep_doc) for r in passages.repeated_passages(df, block=block).collect()}
+        assert got <= {(2 * k + 1, 2 * k) for k in range(60)} and len(got) >= 57
+    assert passages.recall(passages.MIN_JACCARD) > 0.98
+
+
+def test_similar_sets_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base = rng.integers(0, 60, (4, 12))
+        sets = [np.unique(np.where(rng.random(12) < 0.2, rng.integers(0, 60, 12), base[rng.integers(4)])) for _ in range(14)]
+        near = [(i, j) for i in range(14) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))]
+        assert brute.roots(14, passages.similar(sets, 0.5)) == brute.roots(14, near)
+
+
+def test_passages_awkward(spark, awkward, empty):
+    got = {(r.doc, r.keep_doc, r.begin, r.words) for r in passages.repeated_passages(awkward).collect()}
+    assert got == {(4, None, 0, 60), (5, None, 0, 60)}  # equal texts: the null id comes first
+    out = passages.dedup_passages(awkward).where("text like 'w0 %'").collect()
+    assert [r.doc_id for r in out] == [None]
+    assert passages.repeated_passages(empty).count() == 0
+    own = spark.createDataFrame([(1, "a " * 500), (2, "\u00e9 " * 30)], "doc_id long, text string")
+    assert passages.repeated_passages(own).count() == 0  # repeats within one document, and short texts
+
+
+def test_passages_are_cut_out(spark):
+    words = [f"q{i}" for i in range(60)]
+    docs = [(1, "first\n" + " ".join(words)), (2, "head\n" + " ".join(words[:30]) + "\n" + " ".join(words[30:]) + " tail\nend")]
+    out = {r.doc_id: (r.text, r.n_chars) for r in passages.dedup_passages(spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, n_chars long")).collect()}
+    assert out[1] == (docs[0][1], 0)
+    left = out[2][0].split()
+    assert left[0] == "head" and left[-2:] == ["tail", "end"] and len(left) < 63 - 37 and out[2][1] == len(out[2][0])
