@@ -3,14 +3,18 @@
 Pre-tokenisation is vectorised: code points are mapped to classes, each class is a transition function
 on eight states, and an associative scan of those functions over blocks of text gives the state, and so
 the boundaries, everywhere at once. The slices between boundaries are looked up in a cache of merged
-pieces; those that are new are merged together, pair by pair. Byte offsets are kept for decoding.
+pieces; those that are new are merged together, pair by pair, and long ones alone, by a heap of their
+pairs. Byte offsets are kept for decoding.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import itertools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +23,14 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.shared import as_bytes, col, ragged, read, slices, span_hashes
 
-#: Rank file of the vocabulary: a base64 token and its rank on each line.
+#: Rank file of the vocabulary: a base64 token and its rank on each line. It is read on the driver and sent to the executors.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text encoded at once.
 SLICE = 1 << 20
 #: Merged pieces that a worker remembers before it starts anew.
 CACHE_PIECES = 600_000
+#: Bytes from which on a piece is merged alone.
+LONG_PIECE = 64
 #: Rows of an output batch; arrays of tokens are long.
 OUT_ROWS = 1000
 
@@ -94,9 +100,8 @@ def scan(symbols: np.ndarray, step: np.ndarray, begin: np.ndarray) -> np.ndarray
 class Encoder:
     """A vocabulary with its cache of merged pieces."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, data: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         size = max(self.ranks.values()) + 1
         self.tokens = [b""] * size
         for token, rank in self.ranks.items():
@@ -162,10 +167,50 @@ class Encoder:
         return found if at is None else at[found]
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all pieces one after the other, and how many each has.
-
-        Each round merges, in every piece that isn't done, the leftmost pair of least rank.
-        """
+        """Token ids of all pieces one after the other, and how many each has."""
+        long = [k for k, p in enumerate(pieces) if len(p) >= LONG_PIECE]
+        if not long:
+            return self._merge_rounds(pieces)
+        ids, sizes = self._merge_rounds([b"" if len(p) >= LONG_PIECE else p for p in pieces])
+        alone = [self._merge_heap(pieces[k]) for k in long]
+        parts = np.split(ids, np.cumsum(sizes)[long])
+        sizes[long] = [len(x) for x in alone]
+        return np.concatenate([x for pair in itertools.zip_longest(parts, alone) for x in pair if x is not None]), sizes
+
+    def _merge_heap(self, piece: bytes) -> np.ndarray:
+        """Token ids of one piece, in a time of about n log n: the pair of least rank, leftmost first, until none is left."""
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
+        n = len(ids)
+        keys = ids[:-1] * self.size + ids[1:]
+        i = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        ok = np.flatnonzero(self.pair_keys[i] == keys)
+        now = np.full(n + 1, -1)  # rank of the pair that begins here
+        now[ok] = self.pair_rank[i[ok]]
+        heap = sorted((now[ok] << 32 | ok).tolist())
+        now, ids = now.tolist(), ids.tolist()
+        after, before = [*range(1, n + 1), n], list(range(-1, n))
+        tokens, rank = self.tokens, self.ranks.get
+        while heap:
+            entry = heapq.heappop(heap)
+            at, best = entry & 0xFFFFFFFF, entry >> 32
+            if now[at] != best:
+                continue
+            gone = after[at]
+            next_ = after[gone]
+            ids[at], ids[gone], now[gone], after[at], before[next_] = best, -1, -1, next_, at
+            token = tokens[best]
+            now[at] = r = rank(token + tokens[ids[next_]], -1) if next_ < n else -1
+            if r >= 0:
+                heapq.heappush(heap, r << 32 | at)
+            left = before[at]
+            if left >= 0:
+                now[left] = r = rank(tokens[ids[left]] + token, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << 32 | left)
+        return np.array([x for x in ids if x >= 0], np.int32)
+
+    def _merge_rounds(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge``, for short pieces. Each round merges, in every piece that isn't done, the leftmost pair of least rank."""
         none = np.iinfo(np.int64).max
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -264,16 +309,22 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker."""
+def encoder(path: str, data: bytes | None = None) -> Encoder:
+    """One for each vocabulary in each worker; made of the file's bytes where they were sent."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(Path(path).read_bytes() if data is None else data)
     return _encoders[path]
 
 
-def _encode(path: str, at: int):
+def shipped(spark: SparkSession, path: str) -> Callable[[], Encoder]:
+    """What gives the encoder in a task: the vocabulary, a file of fixed size, goes to the executors as a broadcast."""
+    sent = spark.sparkContext.broadcast(Path(path).read_bytes())
+    return lambda: encoder(path, sent.value)
+
+
+def _encode(coder_of: Callable[[], Encoder], at: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = coder_of()
         for batch in batches:
             raw = as_bytes(batch.column(at))
             null = batch.column(at).is_null().to_numpy(zero_copy_only=False)
@@ -304,15 +355,15 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keep
     the bytes offsets[i] to offsets[j]. lossless says whether decoding gives the text back (always).
     No special tokens: their strings are ordinary text.
 
-    Nulls: a null text gives nulls; an empty one gives no tokens. Texts of any length are taken whole.
-    Rows stay as they are, repeated or not; an empty table gives an empty table. An output column whose
+    Nulls: a null text gives nulls; an empty one gives no tokens. Texts of any length are taken whole, and a
+    long piece without a boundary takes n log n. Ties of rank go to the leftmost pair. Rows stay as they are, repeated or not; an empty table gives an empty table. An output column whose
     name df has already (whatever the case) replaces it.
     """
     made = ("n_tokens", "tokens", "offsets", "n_bytes", "lossless")
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in made and c != text]
     plain = df.select(*[col(c) for c in names], col(text).cast("string")).toDF(*[f"c{i}" for i in range(len(names) + 1)])
     kinds = ", ".join([f"r{i} {f.dataType.simpleString()}" for i, f in enumerate(plain.schema[:-1])] + [f"r{len(names) + i} {k}" for i, k in enumerate(("int", "array<int>", "array<int>", "int", "boolean"))])
-    return plain.mapInArrow(_encode(vocabulary, len(names)), kinds).toDF(*names, *made)
+    return plain.mapInArrow(_encode(shipped(df.sparkSession, vocabulary), len(names)), kinds).toDF(*names, *made)
 
 
 def decode(df: DataFrame, tokens: str = "tokens", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -322,11 +373,13 @@ def decode(df: DataFrame, tokens: str = "tokens", text: str = "text", vocabulary
     as after cutting a list of tokens, become the replacement sign.
     """
 
+    coder_of = shipped(df.sparkSession, vocabulary)
+
     @F.pandas_udf("string")
     def back(lists):
         import pandas as pd
 
-        coder = encoder(vocabulary)
+        coder = coder_of()
 
         def one(ids) -> str | None:
             if ids is None:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.bpe import SLICE, VOCABULARY, encoder
+from fieldspark.llm.bpe import SLICE, VOCABULARY, Encoder, shipped
 from fieldspark.llm.shared import as_bytes, col, read, slices
 
 
-def _count(path: str):
+def _count(coder_of: Callable[[], Encoder]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = coder_of()
         for batch in batches:
             texts = batch.column(0).drop_null()
             raw = as_bytes(texts)
@@ -26,7 +26,7 @@ def _count(path: str):
 
 def length_histogram(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(tokens, docs): how many documents have each encoded length. Null texts have none and are left out."""
-    lengths = df.select(col(text).cast("string")).mapInArrow(_count(vocabulary), "tokens bigint")
+    lengths = df.select(col(text).cast("string")).mapInArrow(_count(shipped(df.sparkSession, vocabulary)), "tokens bigint")
     return lengths.groupBy("tokens").agg(F.count("*").alias("docs"))
 
 
@@ -40,7 +40,8 @@ def length_report(df: DataFrame, text: str = "text", vocabulary: str = VOCABULAR
     truncated_total is that of a plus (limit - a) * docs_over of a: see ``totals_at``.
 
     Only the histogram, one row for each distinct length, is sorted by the window.
-    Nulls: null texts are left out. Empty texts have length 0. Repeated rows count each time. An empty
+    Nulls: null texts are left out. Empty texts have length 0. Very long texts are encoded whole. Repeated
+    rows count each time. Ties: documents of the same length share a row, so there are none. An empty
     table gives no rows. Only the text column is read, so other columns can't clash.
     """
     after = Window.orderBy("tokens").rowsBetween(1, Window.unboundedFollowing)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 
 import brute
 import pytest
@@ -45,6 +46,23 @@ def test_bpe_on_any_text(texts):
     assert coder.decode(ids).tobytes() == "".join(texts).encode()
 
 
+@pytest.mark.parametrize("kind", ("letter", "blanks", "base64", "letters", "han"))
+def test_long_pieces(kind):
+    """A megabyte without a boundary takes seconds, and what the public tokenizer can take is equal."""
+    rng = random.Random(5)
+    text = {
+        "letter": lambda n: "a" * n, "blanks": lambda n: " " * n, "base64": lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n],
+        "letters": lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCXYZ") for _ in range(n)), "han": lambda n: "漢字語" * (n // 9),
+    }[kind](1_000_000)
+    coder = bpe.Encoder(open(bpe.VOCABULARY, "rb").read())
+    began = time.process_time()
+    counts, ids, offsets = coder.encode([text.encode(), b"and more"])
+    assert time.process_time() - began < 30 and counts.sum() == len(ids) == len(offsets)
+    assert coder.decode(ids[: counts[0]]).tobytes() == text.encode()
+    part = text[:6000]
+    assert coder.encode([b"x", part.encode(), b"", b"yz"])[1].tolist() == [t for x in ("x", part, "yz") for t in _reference().encode_ordinary(x)]
+
+
 _made = {}
 
 
