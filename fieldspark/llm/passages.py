@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import LOWER, Recent, as_bytes, blocked, checkpointed, col, components, groups_of, joined, mix, read, signed, slices, span_hashes, word_spans
+from fieldspark.llm.shared import LOWER, Recent, as_bytes, blocked, checkpointed, col, components, groups_of, joined, mix, read, sequence_hashes, signed, slices, sliding_least, span_hashes, word_spans
 
 #: A verbatim passage of so many words is always found, and a shorter one isn't reported.
 MIN_WORDS = 51
@@ -43,7 +43,6 @@ PIECE_BYTES = 1 << 19
 
 _FACTORS = np.random.default_rng(61).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15 | 1
-_UNSTEP = pow(_STEP, -1, 1 << 64)
 
 
 def recall(jaccard: float, hashes: int = HASHES) -> float:
@@ -56,29 +55,13 @@ def _record(hashes: int) -> np.dtype:
     return np.dtype([("anchor", "<u4"), ("key", "<u8"), ("least", "<u2", (hashes,)), ("many", "u1")])
 
 
-def _sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the sequences h[start:end]."""
-    n = len(h) + 1
-    up, down = np.full(n, _STEP, np.uint64), np.full(n, _UNSTEP, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    total = np.zeros(n, np.uint64)
-    np.cumsum(h * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def anchors(grams: np.ndarray, text: np.ndarray, stretch: int, shingle: int, window: int) -> np.ndarray:
     """Words at which paragraphs begin: the last least gram of every ``stretch`` grams in a row that lie in one text."""
     reach = stretch + shingle - 1
     if len(grams) < max(reach, window):
         return np.zeros(0, np.int64)
-    low = np.uint64((1 << 24) - 1)
-    least, size = grams & ~low | low - (np.arange(len(grams), dtype=np.uint64) & low), 1
-    while size < stretch:
-        step = min(size, stretch - size)
-        least, size = np.minimum(least[:-step], least[step:]), size + step
     base = np.flatnonzero(text[: len(text) - reach + 1] == text[reach - 1 :])
-    at = np.unique(base + ((low - (least[base] & low)).astype(np.int64) - base & int(low)))
+    at = np.unique(sliding_least(grams, stretch, base))
     at = at[at + window <= len(grams)]
     return at[text[at] == text[at + window - 1]]
 
@@ -94,11 +77,11 @@ class Paragraphs:
         self.words = np.bincount(of, minlength=len(texts))
         edge = np.arange(len(starts))
         self.short = words.astype(np.uint16)
-        self.grams = _sequence_hashes(words, edge, np.minimum(edge + shingle, len(starts)))
+        self.grams = sequence_hashes(words, edge, np.minimum(edge + shingle, len(starts)))
         self.at = anchors(self.grams, of, min_words - window + 1, shingle, window)
         self.row = of[self.at]
         self.begin = self.at - (np.cumsum(self.words) - self.words)[self.row]
-        self.key = _sequence_hashes(words, self.at, self.at + window)
+        self.key = sequence_hashes(words, self.at, self.at + window)
         self.anchor = self.grams[self.at]
         self.window, self.width = window, window - shingle + 1
 

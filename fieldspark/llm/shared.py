@@ -54,6 +54,24 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the sequences h[start:end], the same for the same values wherever they stand."""
+    up, down = _power_tables(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def sliding_least(h: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """For each place in ``at`` the place of the last least of h[at : at + width], by the upper 40 bits."""
+    low = np.uint64((1 << 24) - 1)
+    least, size = h & ~low | low - (np.arange(len(h), dtype=np.uint64) & low), 1
+    while size < width:
+        step = min(size, width - size)
+        least, size = np.minimum(least[:-step], least[step:]), size + step
+    return at + ((low - (least[at] & low)).astype(np.int64) - at & int(low))
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One buffer of all texts with a newline between, and where each begins and ends."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))

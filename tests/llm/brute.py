@@ -17,17 +17,19 @@ def key(doc: int | None) -> tuple:
     return (doc is not None, doc or 0)
 
 
-def line_dedup(docs: list[tuple[int, str]], run: int = 3) -> dict[int, str]:
+def line_dedup(docs: list[tuple[int, str]], run: int = 3, chars: int = 300) -> dict[int, str]:
     """Text by document of (doc_id, text), ids unique; documents that lose all lines are absent."""
     seen, out = set(), {}
     for d, text in sorted(docs, key=lambda x: key(x[0])):
         lines = text.split("\n")
         gone = set()
-        for i in range(len(lines) - run + 1):
-            now = tuple(lines[i : i + run])
-            if now in seen:
-                gone |= {*range(i, i + run)}
-            seen.add(now)
+        for i in range(len(lines)):
+            for size in range(1, run + 1):
+                now = tuple(lines[i : i + size])
+                if len(now) == size and (size == run or sum(map(len, now)) >= chars):
+                    if now in seen:
+                        gone |= {*range(i, i + size)}
+                    seen.add(now)
         left = [x for i, x in enumerate(lines) if i not in gone]
         if left:
             out[d] = "\n".join(left)

@@ -59,6 +59,17 @@ def test_line_dedup_equals_brute_force(spark):
     for run, gram in ((2, 1), (4, 2), (5, 3)):
         got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_run=run, gram=gram).collect()}
         assert got == brute.line_dedup(docs, run)
+    for chars in (1, 2, 4):
+        docs = [(d, "\n".join(rng.choice(["a", "bé", "ccc", "漢字漢字", "", *map(str, range(40))]) for _ in range(rng.randrange(0, 12)))) for d in range(60)]
+        got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), min_chars=chars).collect()}
+        assert got == brute.line_dedup(docs, chars=chars)
+
+
+def test_long_lines_are_runs_of_their_own(spark):
+    long = "word " * 80
+    docs = [(1, f"head\n{long}\ntail"), (2, f"other\n{long}"), (3, long), (4, "x" * 200 + "\n" + "y" * 200), (5, "z\n" + "x" * 200 + "\n" + "y" * 200), (6, "x" * 200 + "\nend")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "other", 4: docs[3][1], 5: "z", 6: docs[5][1]}
 
 
 def test_quality_by_broadcast_and_by_join(spark):
