@@ -2,9 +2,9 @@
 
 Paragraphs are cut at content, not at line ends: of each stretch of word triples the least one is an anchor
 (winnowing), and a paragraph is a fixed number of words from an anchor on. So a repeated passage holds the same
-paragraphs wherever it stands. Paragraphs that share their anchor and two of their MinHashes collide, the exact
-Jaccard similarity of their triples is verified, and the components of verified pairs are classes of which the
-first document's paragraphs stay.
+paragraphs wherever it stands. Paragraphs that share their anchor and two of their MinHashes collide and fall into one
+bucket, with those that they are linked to by such collisions. There the exact Jaccard similarity of their triples
+is verified, and the components of verified pairs are classes of which the first document's paragraphs stay.
 
 The text is read twice. The first scan sends a short record for each paragraph to the part of its anchor, where
 collisions are found; the second fetches places, neighbouring words and triples of those paragraphs only that
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import LOWER, Recent, as_bytes, blocked, checkpointed, col, components, groups_of, joined, mix, read, sequence_hashes, signed, slices, sliding_least, span_hashes, word_spans
+from fieldspark.llm.shared import LOWER, Recent, as_bytes, blocked, checkpointed, col, components, groups_of, joined, local_roots, mix, read, sequence_hashes, signed, slices, sliding_least, span_hashes, word_spans
 
 #: A verbatim passage of so many words is always found, and a shorter one isn't reported.
 MIN_WORDS = 51
@@ -151,48 +151,44 @@ def _banded(how: tuple, hashes: int, parts: int):
     return banded
 
 
-def _buckets(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and key of the bands that several keys share. Bands with the same keys name the same bucket."""
-    order = np.argsort(band, kind="stable")
-    band = band[order]
-    many = np.r_[False, band[1:] == band[:-1]][: len(band)]
-    many[:-1] |= many[1:]
-    order, band = order[many], band[many]
-    if not len(band):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    own = key[order]
-    first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-    count = np.diff(np.r_[first, len(band)])
-    return np.repeat(mix(np.add.reduceat(mix(own), first) + count.astype(np.uint64)), count), own
+def _linked(rows: np.ndarray, hashes: int) -> np.ndarray:
+    """For records of distinct paragraphs the first of those that they are linked to by collisions, maybe over others.
+
+    Two collide if they share the anchor and two MinHashes.
+    """
+    base = mix(rows["anchor"].astype(np.uint64))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in itertools.combinations(range(hashes), 2):
+        band = base ^ (rows["least"][:, i].astype(np.uint64) << np.uint64(16) | rows["least"][:, j])
+        order = np.argsort(band, kind="stable")
+        same = np.flatnonzero(band[order[1:]] == band[order[:-1]])
+        a.append(order[same])
+        b.append(order[same + 1])
+    return local_roots(len(rows), np.concatenate(a), np.concatenate(b))
 
 
 def _collisions(hashes: int):
     def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, bucket): without a bucket, the keys that several texts hold; with one, the keys that share two MinHashes."""
+        """(key, bucket) of the paragraphs that several texts hold, or that collide with others: those have a bucket, and only one."""
         for table in groups_of(batches, "part"):
             part, blobs = table.column("part").to_numpy(), table.column("records").to_pylist()
             for x, y in itertools.pairwise([*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)]):
                 rows = np.frombuffer(b"".join(blobs[x:y]), _record(hashes))
+                if not len(rows):
+                    continue
                 rows = rows[np.lexsort((rows["key"], rows["anchor"]))]
-                anchor, key = rows["anchor"], rows["key"]
-                new = np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])][: len(rows)]
-                first = np.flatnonzero(new)
-                size = np.diff(np.r_[first, len(rows)])
-                met = key[first][(size > 1) | np.maximum.reduceat(rows["many"], first).astype(bool)] if len(rows) else key
-                keys, buckets, real = [met], [np.zeros(len(met), np.uint64)], [np.zeros(len(met), bool)]
-                own = rows[first]
-                alone = np.r_[True, own["anchor"][1:] != own["anchor"][:-1]][: len(own)]
-                alone &= np.r_[alone[1:], True][: len(own)]
-                own = own[~alone]
-                base = mix(own["anchor"].astype(np.uint64))
-                for i, j in itertools.combinations(range(hashes), 2):
-                    band = base ^ (own["least"][:, i].astype(np.uint64) << np.uint64(16) | own["least"][:, j]) ^ np.uint64((i * hashes + j) << 40)
-                    bucket, some = _buckets(mix(band), own["key"])
-                    keys.append(some)
-                    buckets.append(bucket)
-                    real.append(np.ones(len(some), bool))
-                pair = np.unique(np.stack([np.concatenate(keys), np.concatenate(buckets), np.concatenate(real).astype(np.uint64)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([signed(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64), mask=pair[:, 2] == 0)], ["key", "bucket"])
+                first = np.flatnonzero(np.r_[True, (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["key"][1:] != rows["key"][:-1])])
+                met = (np.diff(np.r_[first, len(rows)]) > 1) | np.maximum.reduceat(rows["many"], first).astype(bool)
+                rows = rows[first]
+                alone = np.r_[True, rows["anchor"][1:] != rows["anchor"][:-1], True]
+                crowd = np.flatnonzero(~(alone[1:] & alone[:-1]))
+                bucket, root = np.zeros(len(rows), np.uint64), _linked(rows[crowd], hashes)
+                several = np.bincount(root, minlength=len(crowd))[root] > 1
+                near = np.zeros(len(rows), bool)
+                near[crowd[several]] = True
+                bucket[crowd[several]] = rows["key"][crowd[root[several]]]
+                at = np.flatnonzero(met | near)
+                yield pa.RecordBatch.from_arrays([signed(np.ascontiguousarray(rows["key"][at])), pa.array(bucket[at].view(np.int64), mask=~near[at])], ["key", "bucket"])
 
     return collisions
 
@@ -309,17 +305,21 @@ def similar(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
 
 def _edges(threshold: float):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b): edges that connect the similar paragraphs of each cell."""
+        """(node, root, whole): the components of the similar paragraphs of each cell, as stars; ``whole`` says that the cell is a whole bucket."""
         for table in groups_of(batches, "cell"):
-            cell, key = table.column("cell").to_numpy(), table.column("key").to_numpy()
+            cell, key, whole = (table.column(c).to_numpy() for c in ("cell", "key", "whole"))
             sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
-            a, b = [], []
+            nodes, roots = [], []
             for i, j in itertools.pairwise([*np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist(), len(cell)]):
-                if j - i > 1:
-                    for x, y in similar(sets[i:j], threshold):
-                        a.append(key[i + x])
-                        b.append(key[i + y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                links = similar(sets[i:j], threshold) if j - i > 1 else []
+                if links:
+                    x, y = np.array(links).T
+                    root = local_roots(j - i, x, y)
+                    at = np.flatnonzero(root != np.arange(j - i))
+                    nodes.append(i + at)
+                    roots.append(i + root[at])
+            at, up = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (nodes, roots))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(key[up]), pa.array(whole[at])], ["node", "root", "whole"])
 
     return edges
 
@@ -361,7 +361,7 @@ def repeated_passages(
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = texts.mapInArrow(_banded(how, hashes, parts), "part int, records binary")
     met = checkpointed(sent.repartition(parts // 4, "part").sortWithinPartitions("part").mapInArrow(_collisions(hashes), "key bigint, bucket bigint"))
-    names, near = met.select("key").distinct(), met.where("bucket IS NOT NULL").select("key").distinct()
+    names, near = met.select("key"), met.where("bucket IS NOT NULL").select("key")
     wanted = _shared(names, broadcast_ids)
     shape = "key bigint, body bigint, begin int, around binary, shingles binary"
     if wanted is not None:
@@ -372,10 +372,10 @@ def repeated_passages(
         found = checkpointed(found.join(names, "key", "left_semi").unionByName(found.where("key IS NULL")))
         one = found.join(near, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body")).groupBy("body").agg(F.collect_list("key").alias("keys"))
         sets = texts.dropDuplicates(["body"]).join(one, "body").select("text", "keys").mapInArrow(_picked(how), "key bigint, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    pairs = met.where("bucket IS NOT NULL").distinct()
-    cells = blocked(pairs, "bucket", "key", block).join(sets, "key").select("cell", "key", "shingles")
-    edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(min_jaccard), "a bigint, b bigint")
-    roots = components(edges)
+    cells = blocked(met.where("bucket IS NOT NULL"), "bucket", "key", block).join(sets, "key").select("cell", "key", (F.col("cell") == F.col("bucket")).alias("whole"), "shingles")
+    stars = checkpointed(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(min_jaccard), "node bigint, root bigint, whole boolean"))
+    # a paragraph is in one bucket, so only the buckets that were split have components over several cells
+    roots = stars.where("whole").select("node", "root").unionByName(components(stars.where("NOT whole").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     bodies = docs.groupBy("body").agg(F.min(F.struct("doc")).alias("first"), F.max(F.struct("doc")).alias("last"))
     bodies = checkpointed(bodies)

@@ -190,6 +190,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
