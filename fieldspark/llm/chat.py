@@ -7,7 +7,7 @@ then rendered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm.shared import col, read
@@ -38,7 +38,8 @@ def final_messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     matters for deltas only. A turn whose final text is empty is kept. An empty table gives no rows. Only
     the named columns are read.
 
-    Whole conversations are folded by two grouped steps, the second over one row for each turn.
+    Very long texts and conversations of many turns are taken whole: events are grouped by turn, and of a
+    conversation only one row for each turn is put in order.
     """
     kinds = F.coalesce(col(kind).cast("string"), F.lit("message")) if kind else F.lit("message")
     order = F.when(kinds == "message", 0).when(kinds == "edit", 1).when(kinds == "regenerate", 2).when(kinds == "delta", 3).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), kinds)).cast("int"))
@@ -46,11 +47,9 @@ def final_messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     turns = log.groupBy("conv", "turn").agg(F.array_sort(F.collect_list("e"), _null_first).alias("events"))
     breaks = F.filter("events", lambda e: e["kind"].isin(1, 2))
     turns = turns.withColumn("cut", F.array_max(F.transform(breaks, lambda e: F.coalesce(e["seq"], F.lit(-(2**63))))))
-    whole = turns.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "cut", "events"))).alias("turns"))
-    # the latest edit or regeneration of any earlier turn, carried along the turns
-    start = F.struct(F.lit(None).cast("bigint").alias("cut"), F.array().cast("array<struct<turn:bigint,cut:bigint,events:array<struct<seq:bigint,kind:int,role:string,text:string>>>>").alias("out"))
-    fold = F.aggregate("turns", start, lambda acc, t: F.struct(F.greatest(acc["cut"], t["cut"]).alias("cut"), F.concat(acc["out"], F.array(F.struct(t["turn"].alias("turn"), acc["cut"].alias("cut"), t["events"].alias("events")))).alias("out"))) if kind else None
-    placed = whole.select("conv", F.explode(fold["out"] if kind else F.col("turns")).alias("t")).select("conv", "t.turn", "t.events", F.col("t.cut") if kind else F.lit(None).cast("bigint").alias("cut"))
+    # the latest edit or regeneration of any earlier turn; Spark spills a window's rows, however many turns a conversation has
+    earlier = Window.partitionBy("conv").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.select("conv", "turn", "events", (F.max("cut").over(earlier) if kind else F.lit(None).cast("bigint")).alias("cut"))
     live = placed.withColumn("events", F.filter("events", lambda e: F.col("cut").isNull() | (e["seq"] > F.col("cut")))).where(F.size("events") > 0)
     state = F.aggregate(
         "events", F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text")),
@@ -87,9 +86,32 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return render(final_messages(df, conv, turn, role, text, seq, kind), conv, turn, role, text)
 
 
+def event_log(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, seq, kind): a log that leads to the finished messages of conversations(conv_id, turn, role, text).
+
+    Each message is opened and streamed in three deltas. Every third turn first has a draft and, after it, a reply
+    that nobody sees, as an edit then takes it back and the rest is streamed. Of the others, every second is streamed
+    to its middle, regenerated and streamed anew. A turn's events have 16 sequence numbers of their own. Null texts
+    stay empty messages; repeated rows and two rows of one turn aren't expected.
+    """
+    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    third = F.floor(n / 3).cast("int")
+    parts = [F.substring(text, 1, third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, n)]
+    same = lambda seq, kind, part, role=F.lit(None).cast("string"): F.struct(F.lit(0).alias("up"), role.alias("role"), part.alias("text"), F.lit(seq).alias("at"), F.lit(kind).alias("kind"))
+    named, none = F.col("role").cast("string"), F.lit(None).cast("string")
+    stray = F.struct(F.lit(1).alias("up"), F.lit("assistant").alias("role"), F.lit("taken back").alias("text"), F.lit(2).alias("at"), F.lit("message").alias("kind"))
+    plain = F.array(same(1, "message", none, named), *[same(4 + i, "delta", p) for i, p in enumerate(parts)])
+    edited = F.array(same(1, "message", F.concat(F.lit("draft "), text), named), stray, same(3, "edit", parts[0]), *[same(4 + i, "delta", p) for i, p in enumerate(parts[1:])])
+    again = F.array(same(1, "message", parts[0], named), same(3, "delta", parts[2]), same(7, "regenerate", none), *[same(8 + i, "delta", p) for i, p in enumerate(parts)])
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    events = F.when(kind.isin(0, 3), edited).when(kind.isin(1, 5), again).otherwise(plain)
+    rows = conversations.select("conv_id", "turn", F.explode(events).alias("e"))
+    return rows.select("conv_id", (F.col("turn") + F.col("e.up")).alias("turn"), "e.role", "e.text", (F.col("turn") * 16 + F.col("e.at")).cast("bigint").alias("seq"), "e.kind")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations; the table's rows are whole messages."""
-    return format_chats(read(spark, sf_dir, "conversations"))
+    """All conversations, rebuilt from an ``event_log`` of them; the SQL renders the finished messages themselves."""
+    return format_chats(event_log(read(spark, sf_dir, "conversations")), seq="seq", kind="kind")
 
 
 SQL = """

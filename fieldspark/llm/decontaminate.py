@@ -20,8 +20,8 @@ from fieldspark.llm.shared import col, read
 
 #: Edits allowed, as a share of the item's length.
 ERROR_RATE = 0.06
-#: Items shorter than this (normalised) say too little to be looked for.
-MIN_CHARS = 20
+#: Items shorter than this (normalised) say little: they count only where they stand unchanged and as whole words.
+SHORT_CHARS = 20
 #: Characters of benchmark text that are sent to the executors at once; a larger benchmark takes several passes.
 CHUNK_CHARS = 4_000_000
 
@@ -78,8 +78,9 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """The pieces of some items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, budget(t, rate), pattern_masks(t)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float, short_chars: int = SHORT_CHARS):
+        self.short_chars = short_chars
+        self.items = [(i, t, budget(t, rate) if len(t) >= short_chars else 0, pattern_masks(t)) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text, errors, _) in enumerate(self.items):
             for offset, piece in pieces(text, errors):
@@ -99,6 +100,10 @@ class Matcher:
             begin = last + 1 - size
             for n, offset in at:
                 _, item, errors, _ = self.items[n]
+                if size == len(item) < self.short_chars:  # the whole item; it counts only between signs that aren't letters or digits
+                    if n not in windows and not text[max(0, begin - 1) : begin].isalnum() and not text[last + 1 : last + 2].isalnum():
+                        windows[n].append((begin, last + 1))
+                    continue
                 low = begin - offset - errors
                 windows[n].append((max(0, low), min(len(text), low + len(item) + 2 * errors)))
         found = []
@@ -123,13 +128,13 @@ class Matcher:
         return found
 
 
-def item_chunks(benchmark: DataFrame, item_id: str, text: str, min_chars: int, chunk_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_chunks(benchmark: DataFrame, item_id: str, text: str, chunk_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's distinct normalised items, in lists of at most so many characters; one at least."""
     chunk: list[tuple[int, str]] = []
     size = 0
     for i, t in benchmark.select(col(item_id).cast("bigint"), col(text).cast("string")).where(col(text).isNotNull()).distinct().toLocalIterator():
         t = normalised(t)
-        if len(t) < min_chars:
+        if not t:
             continue
         if chunk and size + len(t) > chunk_chars:
             yield chunk
@@ -142,19 +147,19 @@ def item_chunks(benchmark: DataFrame, item_id: str, text: str, min_chars: int, c
 _matchers: dict[str, Matcher] = {}
 
 
-def _matcher(name: str, shared: object, rate: float) -> Matcher:
+def _matcher(name: str, shared: object, rate: float, short_chars: int) -> Matcher:
     """The automaton of that name, built once in each Python worker."""
     if name not in _matchers:
         _matchers.clear()
-        _matchers[name] = Matcher(shared.value, rate)
+        _matchers[name] = Matcher(shared.value, rate, short_chars)
     return _matchers[name]
 
 
-def _hits(shared: object, rate: float):
+def _hits(shared: object, rate: float, short_chars: int):
     name = uuid.uuid4().hex  # an object's address may come again in a worker
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(name, shared, rate)
+        matcher = _matcher(name, shared, rate, short_chars)
         for batch in batches:
             out = []
             for text, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -166,50 +171,53 @@ def _hits(shared: object, rate: float):
     return hits
 
 
-def _clean(shared: object, rate: float, at: int):
+def _clean(shared: object, rate: float, short_chars: int, at: int):
     name = uuid.uuid4().hex
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(name, shared, rate)
+        matcher = _matcher(name, shared, rate, short_chars)
         for batch in batches:
             yield batch.filter(pa.array([t is None or not matcher.find(normalised(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return clean
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, short_chars: int = SHORT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, end): each item that occurs in a document within its error budget.
 
     Both sides are compared ``normalised``. The budget is ``rate`` edits for each character of the item;
     distance is the least over the document and end the place, in its normalised text, where that passage
     ends (the first such place in the first window that reaches it). Nothing within the budget is missed.
 
-    Nulls: null texts and null items match nothing; a null id is carried. Items below ``min_chars`` are
-    left out as too short to tell. Empty texts match nothing. Repeated rows give repeated results; equal
-    items under several ids are each reported. Empty tables give an empty table. Only the named columns
-    are read, so others don't clash.
+    An item of fewer than ``short_chars`` characters is looked for too, but has no budget and counts only as
+    whole words, with no letter or digit next to it.
+
+    Nulls: null texts and null items match nothing; a null id is carried. Empty texts and items match nothing.
+    Very long texts are taken whole. Repeated rows give repeated results; ties: equal items under several ids
+    are each reported. Empty tables give an empty table. Only the named columns are read, so others don't clash.
 
     The items go to the executors in chunks of at most ``chunk_chars`` characters, one pass for each.
     """
     sc = df.sparkSession.sparkContext
     docs = df.select(col(text).cast("string"), col(doc_id).cast("bigint"))
     out = None
-    for chunk in item_chunks(benchmark, item_id, item_text, min_chars, chunk_chars):
-        part = docs.mapInArrow(_hits(sc.broadcast(chunk), rate), "doc_id bigint, item_id bigint, distance int, end int")
+    for chunk in item_chunks(benchmark, item_id, item_text, chunk_chars):
+        part = docs.mapInArrow(_hits(sc.broadcast(chunk), rate, short_chars), "doc_id bigint, item_id bigint, distance int, end int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """df without the documents in which a benchmark item occurs (see ``contaminated``). No shuffle.
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, short_chars: int = SHORT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """df without the documents in which a benchmark item occurs (see ``contaminated``, also for all odd cases). No shuffle.
 
-    Documents with a null or empty text stay; other columns pass through, whatever their names.
+    Documents with a null or empty text stay; repeated rows go or stay together; other columns pass through,
+    whatever their names.
     """
     sc, names = df.sparkSession.sparkContext, df.columns
     out = df.toDF(*[f"c{i}" for i in range(len(names))])
     schema = out.schema
-    for chunk in item_chunks(benchmark, item_id, item_text, min_chars, chunk_chars):
-        out = out.mapInArrow(_clean(sc.broadcast(chunk), rate, names.index(text)), schema)
+    for chunk in item_chunks(benchmark, item_id, item_text, chunk_chars):
+        out = out.mapInArrow(_clean(sc.broadcast(chunk), rate, short_chars, names.index(text)), schema)
     return out.toDF(*names)
 
 

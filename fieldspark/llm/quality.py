@@ -114,7 +114,7 @@ def quality_rules(df: DataFrame, text: str = "text", host: str = "source", n_cha
     is left, or nothing, is rejected.
 
     Nulls: a null or blank text is rejected (nothing is left of it); null hosts form a host of their
-    own. Repeated rows: each is kept or rejected like the other. Ties: counts have none; limits are
+    own. Very long texts are taken whole. Repeated rows: each is kept or rejected like the other. Ties: counts have none; limits are
     strict. An empty table gives an empty table. Other columns pass through, whatever their names.
     The column ``n_chars`` is set to the new length if df has it. ``report`` adds n_lines and n_removed.
 
@@ -165,11 +165,11 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _apply_joined(df: DataFrame, text: str, host: str, frequent: DataFrame, min_kept: float) -> DataFrame:
     """As _apply, by a join on (host, line), for more boilerplate than may be sent to each executor.
 
-    Rows are told apart by their whole content, so rows that are equal in all columns share one result.
+    The result of a row depends on its text and host only, so rows that share both share it.
     """
     plain, _ = _positional(df)
     t, h, n = df.columns.index(text), df.columns.index(host), len(df.columns)
-    keyed = plain.withColumn("row", F.xxhash64(*[F.col(c) for c in plain.columns]))
+    keyed = plain.withColumn("row", F.xxhash64(F.col(f"c{t}").cast("string"), F.col(f"c{h}").cast("string")))
     lines = keyed.select(F.col(f"c{t}").cast("string"), F.col(f"c{h}").cast("string"), "row").distinct().mapInArrow(_line_rows, "row bigint, at int, host bigint, line bigint, chars bigint, words string")
     bad = frequent.select("host", "line", F.lit(True).alias("bad"))
     marked = lines.join(bad, ["host", "line"], "left").withColumn("good", F.col("bad").isNull())

@@ -7,6 +7,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldspark.llm import decontaminate, linededup, passages, quality, simhash
 from fieldspark.llm.shared import components, read
@@ -78,7 +79,8 @@ def test_quality_by_broadcast_and_by_join(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     want = brute.quality(docs, 10, 0.2, 0.3)
     for limit in (1000, 0):
-        out = quality.quality_rules(df, min_docs=10, min_share=0.2, min_kept=0.3, broadcast_lines=limit)
+        out = quality.quality_rules(df.withColumn("tags", F.create_map("source", "doc_id")), min_docs=10, min_share=0.2, min_kept=0.3, broadcast_lines=limit)
+        assert all(r.tags == {r.source: r.doc_id} for r in out.collect())
         assert {r.doc_id: r.text for r in out.collect()} == want
     assert 0 < len(want) < 120
 
@@ -146,12 +148,20 @@ def test_decontamination_equals_brute_force(spark):
             if least <= decontaminate.budget(item, 0.06):
                 want.add((d, i, least))
     assert 5 < len(want) < 60
+    want |= {(d, 8, 0) for d, text in docs if "short" in brute.words(text)}
     for chunk in (10**6, 60):
         got = decontaminate.contaminated(df, bench, chunk_chars=chunk)
         assert {tuple(r)[:3] for r in got.collect()} == want
         assert {r.doc_id for r in decontaminate.decontaminate(df, bench, chunk_chars=chunk).collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
 
 
+def test_short_items_count_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Paris"), (2, "42"), (3, "a b"), (4, " "), (5, "x")], "item_id long, text string")
+    docs = [(1, "the answer is paris."), (2, "parish 420 ca b"), (3, "(42) A  B"), (4, "x"), (5, ""), (6, "xx yx x1 \u00e9x"), (7, "pariss paris")]
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1, 0), (3, 2, 0), (3, 3, 0), (4, 5, 0), (7, 1, 0)}
+
+
 def test_decontamination_awkward(spark, awkward, empty):
     bench = spark.createDataFrame([(1, brute_item := "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (2, None), (3, ""), (4, brute_item)], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

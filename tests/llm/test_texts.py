@@ -123,6 +123,25 @@ def test_chats_equal_the_fold(spark):
     assert got == want
 
 
+def test_chats_with_repeated_rows_and_clashing_columns(spark):
+    log = [(1, 0, "user", "a", 0, "message"), (1, 0, None, "b", 1, "delta"), (1, 0, None, "b", 1, "delta"), (1, 1, "assistant", "c", 2, "message"), (1, 1, "assistant", "c", 2, "message")]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in log], "conv_id long, turn long, role string, text string, seq long, kind string, conv string, events string, cut string")
+    assert [tuple(r) for r in chat.final_messages(df, seq="seq", kind="kind").orderBy("turn").collect()] == [(1, 0, "user", "abb"), (1, 1, "assistant", "c")]
+
+
+def test_event_log_has_every_kind_and_leads_to_the_messages(spark, sf):
+    rows = read(spark, sf, "conversations")
+    log = chat.event_log(rows).collect()
+    assert {r.kind for r in log} == {"message", "delta", "edit", "regenerate"} and len(log) > 4 * rows.count()
+    by: dict[int, list] = {}
+    for r in log:
+        by.setdefault(r.conv_id, []).append((r.seq, r.kind, r.turn, r.role, r.text))
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.conv_id, []).append((r.turn, r.role, r.text or ""))
+    assert {c: brute.chat(e) for c, e in by.items()} == {c: sorted(x) for c, x in want.items()}
+
+
 def test_chats_awkward(spark):
     rows = [(1, 0, "user", "hi <|user|>"), (1, 1, None, None), (None, 0, "user", "x"), (2, None, "user", ""), (2, 0, "user", "y" * 100_000)]
     out = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
