@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspark.session import shared_folder
+
 #: Bytes of text that a numpy kernel holds at once. A longer text is taken alone, whole.
 SLICE_BYTES = 1 << 20
 
@@ -159,20 +160,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate data that the cluster names in spark.checkpoint.dir.
-
-    Only on a local master, as in tests, a temporary one is made where none is named; a cluster without one is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="fieldspark-")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage, kept in the ``shared_folder``."""
     sc = df.sparkSession.sparkContext
