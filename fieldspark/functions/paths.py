@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions.emptiness import empty_placeholder
+
 
 def json_path(path: str) -> str:
     return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in path.split("."))
@@ -39,6 +41,13 @@ def long_form(df: DataFrame, keys: list[str], record: str, paths: list[str]) ->
     return parsed.select(*keys, F.inline(each))
 
 
+def successful_leaves(record: Column, paths: list[str]) -> Column:
+    """array<struct<path, value>>: the given leaves of a VARIANT that hold a value, no placeholder, in order; values as plain text."""
+    rows = bound(record, lambda r: F.array(*[F.struct(F.lit(p).alias("path"), value_at(r, p).alias("value")) for p in paths]))
+    there = F.filter(rows, lambda x: ~empty_placeholder(x["value"]))
+    return F.transform(there, lambda x: F.struct(x["path"].alias("path"), unquoted(x["value"]).alias("value")))
+
+
 def with_value(record: Column, path: str, value: Column) -> Column:
     """JSON text of an object's text with the value (JSON text) set at a path; steps that aren't objects are replaced."""
     head, _, rest = path.partition(".")

@@ -45,6 +45,11 @@ def should_retry(complete: Column, confidence: Column, threshold: float = 0.7) -
     return ~F.coalesce(complete, F.lit(True)) | (F.coalesce(confidence, F.lit(1.0)) < threshold)
 
 
+def productive_chunks(items: DataFrame, doc: str, chunk: str = "chunk_id") -> DataFrame:
+    """(doc, chunk, n_items): the chunks that gave items, one row of ``items`` for each item."""
+    return items.groupBy(doc, chunk).agg(F.count("*").alias("n_items"))
+
+
 def page_markers(text: Column) -> Column:
     """array<int>: the pages whose marks stand in a text, those of OCR too."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MARKER), F.lit(1)), lambda x: x.cast("int")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEXT_PAGE_CHARS, SAMPLE, GOOD_QUALITY = 100, 10, 0.7
+#: What stands for a page whose image could not be read, or holds no text.
+OCR_FAILED, NO_TEXT = "[OCR failed]", "[No text extracted]"
 
 
 def sample_pages(total: Column, k: int = SAMPLE) -> Column:
@@ -36,8 +38,10 @@ def method(kind: Column, quality: Column, pages: Column, vision_pages: int = 20)
 def analyze(pages: DataFrame, doc: str, page_no: str = "page_no", text: str = "text", images: str = "n_images", sample: int = SAMPLE) -> DataFrame:
     """One row for each document: pages, share of text and image pages in the sample, quality, type, method, confidence."""
     totals = pages.groupBy(doc).agg(F.count("*").cast("int").alias("n_pages"))
-    looked = pages.join(totals, doc).where(F.array_contains(sample_pages(F.col("n_pages"), sample), (F.col(page_no) - 1).cast("int")))
-    chars = F.length(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    # only the lengths of the pages are shuffled, not their texts
+    slim = pages.select(doc, page_no, F.length(F.trim(F.coalesce(F.col(text), F.lit("")))).alias("_chars"), images)
+    looked = slim.join(totals, doc).where(F.array_contains(sample_pages(F.col("n_pages"), sample), (F.col(page_no) - 1).cast("int")))
+    chars = F.col("_chars")
     out = looked.groupBy(doc).agg(F.first("n_pages").alias("n_pages"), F.avg(F.when(chars >= TEXT_PAGE_CHARS, 1.0).otherwise(0.0)).alias("text_ratio"), F.avg(F.when(F.col(images) > 0, 1.0).otherwise(0.0)).alias("image_ratio"), F.avg(chars).alias("avg_chars"))
     out = out.withColumn("quality", text_quality(F.col("text_ratio"), F.col("avg_chars"))).withColumn("pdf_type", pdf_type(F.col("n_pages"), F.col("text_ratio"), F.col("image_ratio")))
     return out.withColumn("_m", method(F.col("pdf_type"), F.col("quality"), F.col("n_pages"))).select(*out.columns, "_m.method", "_m.confidence")
@@ -53,12 +57,13 @@ def page_range(pages: DataFrame, low: int, high: int, page_no: str = "page_no")
 def document_text(pages: DataFrame, doc: str, page_no: str = "page_no", text: str = "text", ocr: str | None = None) -> DataFrame:
     """(doc, text, n_pages): pages that aren't blank, in order, each after its mark.
 
-    ocr: column of text read from the page's image, taken where the text layer has fewer than 100 characters.
+    ocr: column of text read from the page's image, taken where the text layer has fewer than 100 characters. Such a
+    page isn't left out if that gives nothing: a mark says that reading failed (null) or that there is no text.
     """
     layer = F.coalesce(F.col(text), F.lit(""))
     if ocr:
         thin = F.length(F.trim(layer)) < TEXT_PAGE_CHARS
-        body, mark = F.when(thin, F.coalesce(F.col(ocr), F.lit(""))).otherwise(F.trim(layer)), F.when(thin, " (OCR) ---\n").otherwise(" ---\n")
+        body, mark = F.when(~thin, F.trim(layer)).when(F.col(ocr).isNull(), OCR_FAILED).when(F.col(ocr).rlike(r"(?U)\S"), F.col(ocr)).otherwise(NO_TEXT), F.when(thin, " (OCR) ---\n").otherwise(" ---\n")
     else:
         body, mark = layer, F.lit(" ---\n")
     rows = pages.select(doc, F.col(page_no).alias("p"), body.alias("b"), mark.alias("m")).where(F.col("b").rlike(r"(?U)\S"))

@@ -34,6 +34,22 @@ def track(values: DataFrame, chunks: DataFrame, on: list[str], around: int = 50,
     return found.select(*on, "field", "value", page_of(F.col("page_range"), F.col("page")).alias("page"), "source_file", checked_confidence(F.coalesce("confidence", F.lit(1.0))).alias("confidence"), citation(F.col("content"), F.col("value"), around).alias("citation"), F.lit(method).alias("method"))
 
 
+def to_json(rows: DataFrame, doc: str, field: str = "field") -> DataFrame:
+    """(doc, provenance): the sources of a document's fields as one JSON object by field."""
+    rest = [c for c in rows.columns if c not in (doc, field)]
+    return rows.groupBy(doc).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(field), F.struct(*rest)))))).alias("provenance"))
+
+
+def from_json(df: DataFrame, doc: str, kind: str, column: str = "provenance", field: str = "field") -> DataFrame:
+    """The rows that ``to_json`` made; kind: their columns besides doc and field, as DDL."""
+    return df.select(doc, F.explode(F.from_json(column, f"map<string, struct<{kind}>>")).alias(field, "_p")).select(doc, field, "_p.*")
+
+
+def of_field(rows: DataFrame, name: str, field: str = "field") -> DataFrame:
+    """The sources of one field, or of a nested one by its dotted path."""
+    return rows.where(F.col(field) == name)
+
+
 def merge_provenance(df: DataFrame, keys: list[str], order: str, strategy: str = "highest_confidence", confidence: str = "confidence") -> DataFrame:
     """One row for each key: of most confidence (the earlier of equals), the first or the last by ``order``."""
     row = F.struct(*[c for c in df.columns if c not in keys])

@@ -18,6 +18,11 @@ def usage_totals(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
 
+def summed_cost(df: DataFrame, keys: list[str], cost: str = "cost_usd") -> DataFrame:
+    """(keys, cost): the cost of several passes; passes without a price don't count, and it is null if none has one."""
+    return df.groupBy(*keys).agg(F.sum(cost).alias(cost))
+
+
 def parse_prices(text: str | None) -> dict[str, tuple[float, float]]:
     """{model: (price of 1000 input tokens, of 1000 output tokens)}; what can't be read is left out."""
     try:

@@ -20,7 +20,7 @@ def vote(df: DataFrame, doc: str, strategy: str = "union", pass_no: str = "pass"
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; choose one of {', '.join(STRATEGIES)}")
-    # rows of a document are counted by pass in the same shuffle that brings its values together
+    # a document's passes are counted on their own, one row for each document; that isn't the shuffle of its values
     there = ~empty_pass(F.col(value))
     passes = df.groupBy(doc).agg(F.count_distinct(pass_no).alias("_passes"))
     if strategy in ("intersection", "majority"):

@@ -13,7 +13,7 @@ PREFIX = "FIELDSPARK_"
 class Config:
     model: str = "rules"
     max_concurrency: int = 4  # calls at once in a task
-    max_workers: int = 10  # partitions in which calls run
+    max_workers: int = 10  # partitions in which calls run, at least; more if spark.sql.shuffle.partitions asks for more
     max_retries: int = 5
     timeout_secs: float = 120.0
     max_validation_rounds: int = 2
@@ -21,8 +21,10 @@ class Config:
     multipass: bool = False
     passes: int = 3
     strategy: str = "union"
+    fail_threshold: int | None = None  # passes of a document that may fail; None: all but one
     provenance: bool = False
     chunking: bool = True
+    field_chunking: bool = True  # wide schemas are asked for in groups of fields
     adaptive: bool = True
     missing_threshold: float | None = None  # None: by complexity
     completeness_retry: bool = False
@@ -44,5 +46,5 @@ def load(environ: Mapping[str, str] = os.environ) -> Config:
     found: dict[str, object] = {}
     for f in fields(Config):
         if (text := environ.get(PREFIX + f.name.upper())) is not None:
-            found[f.name] = text.lower() in ("1", "true", "yes") if f.type == "bool" else int(text) if f.type == "int" else float(text) if "float" in f.type else text
+            found[f.name] = text.lower() in ("1", "true", "yes") if f.type == "bool" else int(text) if f.type == "int" else float(text) if "float" in f.type else int(text) if "int" in f.type else text
     return Config(**found)

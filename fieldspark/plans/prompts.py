@@ -33,7 +33,8 @@ def improvement_prompt(schema: dict, user: str | None, results: list, extra_coun
 
 def chunk_prompt(user: str, chunk_id: Column, n_chunks: Column, page_lo: Column, page_hi: Column, array: bool) -> Column:
     """The request for one chunk, with its place in the document."""
-    where = F.when(page_lo.isNotNull(), F.concat(F.lit("pages "), page_lo.cast("string"), F.lit(" to "), page_hi.cast("string"))).otherwise(F.concat(F.lit("part "), (chunk_id + 1).cast("string"), F.lit(" of "), n_chunks.cast("string")))
+    part = F.concat(F.lit("part "), (chunk_id + 1).cast("string"), F.lit(" of about "), n_chunks.cast("string"))
+    where = F.when(page_lo.isNotNull(), F.concat(F.lit("pages "), page_lo.cast("string"), F.lit(" to "), page_hi.cast("string"))).otherwise(part)
     what = "List every item that it holds." if array else "Fill in what it holds and leave the rest null."
     return F.concat(F.lit("This is "), where, F.lit(f". {what}\n\n{user}"))
 
@@ -57,6 +58,17 @@ def focused_prompt(found: dict[str, Any], missing: list[str], user: str) -> str:
     return "\n".join(["Known so far:", *known, "Still missing:", *gaps, "Give only the missing fields.", "", user])
 
 
+def known_fields(found: Column) -> Column:
+    """``focused_prompt``'s list of what is known, of an array of structs (path, value)."""
+    cut = lambda v: F.when(F.length(v) <= SHOWN_CHARS, v).otherwise(F.concat(F.substring(v, 1, SHOWN_CHARS - 3), F.lit("...")))
+    return F.array_join(F.transform(F.slice(found, 1, SHOWN_FIELDS), lambda x: F.concat(F.lit("- "), x["path"], F.lit(": "), cut(x["value"]))), "\n")
+
+
+def focused_request(found: Column, missing: Column, user: str) -> Column:
+    """``focused_prompt`` for each row, of its array of structs (path, value) and its missing paths."""
+    return F.concat_ws("\n", F.lit("Known so far:"), F.when(F.size(found) > 0, known_fields(found)), F.lit("Still missing:"), missing_by_section(missing), F.lit("Give only the missing fields.\n\n" + user))
+
+
 def missing_by_section(missing: Column) -> Column:
     """``focused_prompt``'s list of gaps as one string: section, then its paths in order, for each section in order."""
     heads = F.array_sort(F.array_distinct(F.transform(missing, lambda p: F.split_part(p, F.lit("."), F.lit(1)))))

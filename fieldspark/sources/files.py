@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,10 +21,21 @@ from fieldspark.functions.mime import with_mime, wrap_text
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, file_ord, size, content, ext, mime, kind); a path that doesn't exist is an error. Order is that of the paths."""
     wanted = [paths] if isinstance(paths, str) else [*paths]
+    wanted = [resolved(p) for p in wanted]
     raw = spark.read.format("binaryFile").load(wanted).select("path", F.col("length").alias("size"), "content")
-    tails = F.array(*[F.lit(p.rstrip("/")) for p in wanted])
-    at = F.array_position(F.transform(tails, lambda t: F.endswith(F.col("path"), t)), True)
-    return with_mime(raw.withColumn("file_ord", at.cast("int")))
+    # paths are compared whole, without scheme and host; of nested ones the longest counts
+    bare = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    ranked = sorted(range(len(wanted)), key=lambda i: -len(wanted[i]))
+    at = F.lit(None).cast("int")
+    for i in reversed(ranked):
+        own = F.lit(re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", wanted[i]).rstrip("/"))
+        at = F.when((bare == own) | F.startswith(bare, F.concat(own, F.lit("/"))), F.lit(i + 1)).otherwise(at)
+    return with_mime(raw.withColumn("file_ord", at))
+
+
+def resolved(path: str) -> str:
+    """A local path made absolute, with ~ expanded; others, which name a scheme, as they are."""
+    return path if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path) else str(Path(path).expanduser().resolve())
 
 
 def as_text(content: Column) -> Column:
@@ -79,7 +91,7 @@ def unzipped(files: DataFrame) -> DataFrame:
     """Archives' members in place of the archives: path is archive!member, in order. Nothing is written to disk.
 
     Directories and nested archives aren't opened; members of equal base names stay apart. What isn't an
-    archive passes through. An archive that can't be read gives no rows.
+    archive passes through. An archive that can't be read is one row, its own, with the reason in ``error``.
     """
     keys = ["path", "file_ord", "size", "content"]
 
@@ -88,18 +100,19 @@ def unzipped(files: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for path, ord_, size, content, kind in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind != "zip":
-                    out.append((path, ord_, 0, size, content))
+                    out.append((path, ord_, 0, size, content, None))
                     continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         members = [m for m in z.infolist() if not m.is_dir()]
-                        out += [(f"{path}!{m.filename}", ord_, k, m.file_size, z.read(m)) for k, m in enumerate(members)]
-                except zipfile.BadZipFile:
-                    continue
-            cols = [*zip(*out)] or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["path", "file_ord", "member_ord", "size", "content"])
+                        out += [(f"{path}!{m.filename}", ord_, k, m.file_size, z.read(m), None) for k, m in enumerate(members)]
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError) as e:  # broken, encrypted or packed in an unknown way
+                    out.append((path, ord_, 0, size, content, f"{type(e).__name__}: {e}"))
+            cols = [*zip(*out)] or [[]] * 6
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "file_ord", "member_ord", "size", "content", "error"])
 
-    return with_mime(files.select(*keys, "kind").mapInArrow(run, "path string, file_ord int, member_ord int, size long, content binary"))
+    return with_mime(files.select(*keys, "kind").mapInArrow(run, "path string, file_ord int, member_ord int, size long, content binary, error string"))
 
 
 @F.pandas_udf(T.StringType())
@@ -114,14 +127,14 @@ def _sheet_text(content: pd.Series) -> pd.Series:
 
 
 def parts(files: DataFrame) -> DataFrame:
-    """(path, file_ord, member_ord, mime, kind, text, content): text of what can be read as text, else the bytes.
+    """(path, file_ord, member_ord, mime, kind, text, content, error): text of what can be read as text, else the bytes.
 
     Old spreadsheets (.xls) need an office suite to convert them; without one their bytes are read as text.
     """
     flat = unzipped(files)
     text = F.when(F.col("ext") == "xlsx", _sheet_text("content")).when(F.col("kind") == "text", as_text(F.col("content")))
     wrapped = wrap_text(F.regexp_extract("path", "[^/]*$", 0), F.col("mime"), text)
-    return flat.select("path", "file_ord", "member_ord", "mime", "kind", wrapped.alias("text"), F.when(text.isNull(), F.col("content")).alias("content"))
+    return flat.select("path", "file_ord", "member_ord", "mime", "kind", wrapped.alias("text"), F.when(text.isNull(), F.col("content")).alias("content"), "error")
 
 
 def flattened(parts_: DataFrame, group: str) -> DataFrame:
