@@ -38,8 +38,8 @@ HASHES = 6
 BROADCAST_IDS = 4_000_000
 #: Members of a bucket that one task verifies at once; larger buckets are split into blocks.
 BLOCK = 20_000
-#: Bytes of text whose paragraphs a task holds at once.
-PIECE_BYTES = 1 << 19
+#: Bytes of text, and texts, whose paragraphs a task holds at once.
+PIECE_BYTES, PIECE_ROWS = 1 << 18, 256
 
 _FACTORS = np.random.default_rng(61).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -116,10 +116,11 @@ def _cut(batches: Iterator[pa.RecordBatch], how: tuple) -> Iterator[tuple[Paragr
         _, one = np.unique(body, return_index=True)
         one = np.sort(one)
         one = one[met.new(body[one])]
-        raw = as_bytes(batch.column(0).take(pa.array(one)))
-        body = body[one]
-        for i, j in slices(raw, PIECE_BYTES):
-            yield Paragraphs(raw[i:j], *how), body[i:j]
+        for k in range(0, len(one), PIECE_ROWS):
+            some = one[k : k + PIECE_ROWS]
+            raw = as_bytes(batch.column(0).take(pa.array(some)))
+            for i, j in slices(raw, PIECE_BYTES):
+                yield Paragraphs(raw[i:j], *how), body[some[i:j]]
 
 
 def _banded(how: tuple, hashes: int, parts: int):
@@ -246,10 +247,14 @@ def _picked(how: tuple):
     return picked
 
 
-def _extended(most: int):
+def _extended(most: int, wanted: object | None):
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(whole, body, begin) of (key, body, begin, around): a hash of each passage of ``most`` more words that holds the paragraph."""
+        """(whole, body, begin) of the wanted (key, body, begin, around): a hash of each passage of ``most`` more words that holds the paragraph."""
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(_wanted(batch.column(0).to_numpy(), wanted.value)))
+            if not batch.num_rows:
+                continue
             key = batch.column(0).to_numpy().view(np.uint64)
             raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, 2 + 4 * most)
             near = np.ascontiguousarray(raw[:, 2:]).view(np.uint16).astype(np.uint64)
@@ -379,13 +384,19 @@ def repeated_passages(
 
     bodies = docs.groupBy("body").agg(F.min(F.struct("doc")).alias("first"), F.max(F.struct("doc")).alias("last"))
     bodies = checkpointed(bodies)
-    spots = found.where("key IS NOT NULL").select("key", "body", "begin").distinct().join(bodies.select("body", "first"), "body")
-    keys = spots.groupBy("key").agg(F.min(F.struct("first", "body")).alias("least")).join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    keep = keys.groupBy("root").agg(F.min("least").alias("keep"))
-    goes = spots.join(keys.join(keep, "root").select("key", "keep"), "key").where(F.col("body") != F.col("keep.body"))
+    spots = found.where("key IS NOT NULL").select("key", "body", "begin").repartition("body").dropDuplicates(["body", "begin"]).join(bodies.select("body", "first"), "body")
+    least = spots.groupBy("key").agg(F.min(F.struct("first", "body")).alias("least"))
+    # only paragraphs with similar ones need the first document of their class; for the others it's that of their own
+    member = roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
+    member = member.join(least, "key")
+    keep = member.groupBy("root").agg(F.min("least").alias("keep"))
+    own = least.join(member.select("key", "root").join(keep, "root").select("key", "keep"), "key", "left").select("key", F.coalesce("keep", "least").alias("keep"))
+    goes = spots.join(own, "key").where(F.col("body") != F.col("keep.body"))
     goes = checkpointed(islands(goes.select("key", "body", "begin", "keep"), window))
     doubtful = goes.where(F.col("words") < min_words)
-    again = found.select("key", "body", "begin", "around").join(doubtful.select("key").distinct(), "key", "left_semi").mapInArrow(_extended(min_words - window), "whole bigint, body bigint, begin int")
+    names = doubtful.select("key").distinct()
+    few, places = _shared(names, broadcast_ids), found.where("key IS NOT NULL").select("key", "body", "begin", "around")
+    again = (places if few is not None else places.join(names, "key", "left_semi")).mapInArrow(_extended(min_words - window, few), "whole bigint, body bigint, begin int")
     again = again.join(bodies.select("body", "first"), "body")
     whole = again.groupBy("whole").agg(F.min(F.struct("first", "body")).alias("other"), F.max("body").alias("most"), F.min("body").alias("least")).where("most <> least").select("whole", "other")
     sure = again.join(whole, "whole").where(F.col("body") != F.col("other.body")).groupBy("body", "begin").agg(F.min("other").alias("other"))
