@@ -7,18 +7,18 @@ repeats a paid call, and a lost executor costs the unfinished ones only; all tha
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.functions.paths import long_form, successful_leaves, unquoted, value_at
-from fieldspark.functions.tokens import BUDGET, estimate
+from fieldspark.functions.tokens import BUDGET, count_tokens, estimate
 from fieldspark.operators import completeness, merge, provenance, usage, voting
 from fieldspark.operators.dedup import dedup_items, key_fields, normal_key
 from fieldspark.operators.distribute import semantic
@@ -127,6 +127,8 @@ class Engine:
     spark: SparkSession
     extractor: Extractor | None = None
     config: Config | None = None
+    #: Tokens of a text column; None: a quarter of its characters.
+    counter: Callable[[Column], Column] | None = None
 
     def __post_init__(self):
         self.extractor = self.extractor or RuleExtractor()
@@ -135,7 +137,7 @@ class Engine:
     def chunks(self, docs: DataFrame, doc: str, schema: S.Schema, prompt: str = "", text: str = "text", least: int = 5000) -> DataFrame:
         """(doc, n_chunks, chunk_id, text, ...): documents beyond the token budget in about n chunks of whole sentences, the rest in one."""
         lit = lambda x: F.lit(len(x) // 4).cast("long")
-        planned = estimate(docs.select(doc, F.col(text).alias("text")), F.floor(F.length("text") / 4).cast("long"), lit(json.dumps(schema)), lit(prompt), F.lit(0).cast("long"), F.lit(self.config.model), S.is_array(schema), BUDGET)
+        planned = estimate(docs.select(doc, F.col(text).alias("text")), count_tokens(F.col("text"), self.counter), lit(json.dumps(schema)), lit(prompt), F.lit(0).cast("long"), F.lit(self.config.model), S.is_array(schema), BUDGET)
         n = F.col("recommended_chunks") if self.config.chunking else F.lit(1).cast("long")
         return semantic(planned.select(doc, "text", n.alias("n_chunks")), [doc, "n_chunks"], "text", "n_chunks", least if self.config.chunking else 1 << 30)
 

@@ -54,6 +54,16 @@ def cell_place(ref: str) -> tuple[int, int]:
     return int(found[2]), column
 
 
+def cell_coordinates(ref: Column) -> Column:
+    """struct<row, column> of a column of cells' names, as ``cell_place``."""
+    name = F.upper(ref)
+    letters = F.regexp_extract(name, r"^([A-Z]+)[0-9]+$", 1)
+    column = F.aggregate(F.split(letters, ""), F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64)
+    row = F.regexp_extract(name, r"^[A-Z]+([0-9]+)$", 1).try_cast("int")
+    good = F.coalesce(letters != "", F.lit(False))
+    return F.struct(F.when(good, row).otherwise(1).alias("row"), F.when(good, column).otherwise(1).alias("column"))
+
+
 def _tag(node: ElementTree.Element) -> str:
     return node.tag.rpartition("}")[2]
 
