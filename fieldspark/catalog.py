@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldspark.queries import merges, runs, schemas, segments
+from fieldspark.queries import merges, passes, runs, schemas, segments, structures
 
-MODULES = (segments, merges, schemas, runs)
+MODULES = (segments, merges, schemas, structures, runs, passes)
 
 
 def queries() -> dict:

@@ -60,3 +60,9 @@ def with_value(record: Column, path: str, value: Column) -> Column:
 def items_of(wrapped: Column, item: str) -> Column:
     """The list under "items" of a JSON text, as array of a type; empty if it isn't a list."""
     return F.coalesce(F.from_json(wrapped, f"items array<{item}>")["items"], F.array().cast(f"array<{item}>"))
+
+
+def report_of(wrapped: Column) -> Column:
+    """struct<items_found, extraction_complete, completeness_confidence, reason> under "extraction_metadata" of a JSON text; its fields are null if there is none."""
+    kinds = "items_found bigint, extraction_complete boolean, completeness_confidence double, reason string"
+    return F.from_json(F.coalesce(F.get_json_object(wrapped, "$.extraction_metadata"), F.lit("{}")), kinds)

@@ -272,16 +272,13 @@ class Engine:
         lacking = lacking.withColumn("missing", gone).where(F.size("missing") / F.lit(max(1, len(leaves))) > limit).select(doc, "missing", successful_leaves(F.col("_v"), leaves).alias("_known"))
         again = chunks.join(lacking.withColumn("_again", prompts.focused_request(F.col("_known"), F.col("missing"), request)), doc)
         calls = self._calls(again, [doc, "chunk_id"], S.optional(schema), request, prompt_column="_again", paths_column="missing")
-        tops = [*schema.get("properties", {})]
-        nested = [p for p in leaves if "." in p]
         second = record(self._merged(calls, schema, doc), [doc])
         wanted = lacking.select(doc, F.explode("missing").alias("path"))
         # only the wanted paths of the second pass take part
         more = long_form(second, [doc], "data", leaves).join(wanted, [doc, "path"], "left_semi")
         both = merge.merge_passes(long_form(found, [doc], "data", leaves), more, [doc, "path"], F.lit(True))
         both = both.where(F.col("value").isNotNull())
-        flat = both if not nested else _nest(both, doc, max(p.count(".") for p in leaves) + 1)
-        return found.select(doc).join(record(flat.where(F.col("path").isin(tops)), [doc]), doc, "left").select(doc, F.coalesce("data", F.lit("{}")).alias("data")), calls
+        return found.select(doc).join(rebuilt(both, doc, schema), doc, "left").select(doc, F.coalesce("data", F.lit("{}")).alias("data")), calls
 
     def _passes(self, chunks: DataFrame, schema: S.Schema, request: str, doc: str) -> Result:
         """Passes put to the vote. A pass of a document fails if one of its calls does, and then doesn't vote.
@@ -350,16 +347,22 @@ class Engine:
         return {"results": result, "improved_schema": better.get("schema", schema), "improved_user_prompt": better.get("prompt", prompt)}
 
 
-def _nest(rows: DataFrame, doc: str, most: int) -> DataFrame:
-    """Rows of dotted paths of at most so many parts as rows of top fields, objects built from the deepest level up."""
-    deep = F.size(F.split("path", r"\."))
-    now = rows.select(doc, "path", "value")
-    for level in range(most, 1, -1):
-        inner = now.where(deep == level)
-        parent, name = F.regexp_replace("path", r"\.[^.]*$", ""), F.regexp_extract("path", r"[^.]*$", 0)
-        up = record(inner.select(doc, parent.alias("_p"), name.alias("_k"), "value"), [doc, "_p"], "_k")
-        now = now.where(deep < level).unionByName(up.select(doc, F.col("_p").alias("path"), F.col("data").alias("value")))
-    return now
+def rebuilt(rows: DataFrame, doc: str, schema: S.Schema) -> DataFrame:
+    """(doc, data): rows (doc, path, value) of dotted paths as one JSON object each, keys in order of name; one aggregate, however deep the schema.
+
+    Values are used once in the expression, so it grows with the leaves of the schema and not with its depth.
+    """
+
+    def node(part: S.Schema, prefix: str) -> Column:
+        fields = []
+        for name, f in sorted(part.get("properties", {}).items()):
+            inner = isinstance(f, dict) and f.get("type") == "object" and bool(f.get("properties"))
+            value = node(f, f"{prefix}{name}.") if inner else F.try_element_at("_values", F.lit(prefix + name))
+            fields.append(F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), value))  # null without a value
+        return F.concat(F.lit("{"), F.nullif(F.array_join(F.array_compact(F.array(*fields)), ","), F.lit("")), F.lit("}"))
+
+    values = rows.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("_values"))
+    return values.select(doc, F.coalesce(node(schema, ""), F.lit("{}")).alias("data"))
 
 
 def extra_keys(data: DataFrame, record_column: str = "data") -> DataFrame:
