@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import SPACE, as_bytes, col, ragged, read, slices, span_hashes
+from fieldspark.llm.shared import SPACE, Recent, as_bytes, col, mix, ragged, read, slices, span_hashes
 
 #: Labelled documents that the model is fitted on, for each language at most; those of the least hashes.
 FIT_DOCS = 1500
@@ -29,6 +29,10 @@ SWITCH = 12.0
 CLIP = 8.0
 #: Bytes of text labelled at once.
 SLICE = 4 << 20
+#: Scores of words that a task remembers, by slots of a table; a word whose slot was taken is scored anew.
+KNOWN_BITS = 17
+#: Of ten parts of the distinct texts, by hash, the query's model is fitted on all but the first; so the README's accuracy is of texts that it never saw.
+HELD_OUT_PARTS = 10
 
 #: First code point, last code point and script; all else is Common.
 RANGES = [
@@ -200,7 +204,8 @@ class Labeller:
                 if label not in self.labels:
                     self.labels.append(label)
                 self.of_script[s] = [self.labels.index(label)]
-        self.known: dict[int, np.ndarray] = {}
+        self.known = Recent(KNOWN_BITS)
+        self.known_scores = np.zeros((1 << KNOWN_BITS, max(1, len(model.languages))), np.float32)
 
     def scores(self, words: Words) -> np.ndarray:
         """(words, labels) scores: 0 for a word's best language, at least -clip for its script's others, -2 clip elsewhere."""
@@ -213,18 +218,30 @@ class Labeller:
             if len(allowed) == 1:
                 out[mine, allowed[0]] = 0
                 continue
-            hashes = span_hashes(words.buf, words.starts[mine], words.ends[mine])
-            _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-            buckets, owner = words.grams(mine[first])
-            each = np.zeros((len(first), len(allowed)), np.float32)
-            for k, label in enumerate(allowed):
-                each[:, k] = np.bincount(owner, self.model.weights[buckets, label], len(first))
-            # n-grams overlap: the mean over their lengths counts each sign about once
-            each /= len(GRAMS) / 2
-            each -= each.max(axis=1, keepdims=True)
-            out[np.ix_(mine, allowed)] = np.maximum(each, -self.clip)[which]
+            # the script is part of a word's name, as the labels that are allowed depend on it
+            hashes, first, which = np.unique(mix(span_hashes(words.buf, words.starts[mine], words.ends[mine]) ^ np.uint64(s)), return_index=True, return_inverse=True)
+            slot = (hashes & self.known.mask).astype(np.int64)
+            new = self.known.new(hashes)
+            # of words that share a slot, the last one is remembered; so each is read before any is written
+            each = self.known_scores[slot][:, : len(allowed)]
+            each[new] = self._word_scores(words, mine[first[new]], allowed)
+            self.known_scores[slot[new], : len(allowed)] = each[new]
+            out[np.ix_(mine, allowed)] = each[which]
         return out
 
+    def _word_scores(self, words: Words, some: np.ndarray, allowed: list[int]) -> np.ndarray:
+        """Scores of some words in the allowed labels."""
+        if not len(some):
+            return np.zeros((0, len(allowed)), np.float32)
+        buckets, owner = words.grams(some)
+        each = np.zeros((len(some), len(allowed)), np.float32)
+        for k, label in enumerate(allowed):
+            each[:, k] = np.bincount(owner, self.model.weights[buckets, label], len(some))
+        # n-grams overlap: the mean over their lengths counts each sign about once
+        each /= len(GRAMS) / 2
+        each -= each.max(axis=1, keepdims=True)
+        return np.maximum(each, -self.clip)
+
     def label(self, words: Words, scores: np.ndarray | None = None) -> np.ndarray:
         """The label of each word on the best path of its text; ties go to staying, then to the first label.
 
@@ -316,7 +333,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc
     the earlier label in alphabetical order of the model's languages, then of the scripts.
 
     Nulls: a null text gives nulls. An empty text, or one without letters, is "und" with no span and
-    share 0. Rows stay as they are, repeated or not; an empty table gives an empty table. Only the
+    share 0. Very long texts are labelled whole. Rows stay as they are, repeated or not; an empty table gives an empty table. Only the
     named columns are read. Whole texts are labelled. One pass without a shuffle; the model's size is fixed.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -326,6 +343,11 @@ def identify(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language and the spans of every document, by a model of the documents' own labels."""
+    """(doc_id, lang, share, words, spans) of every document, those that the model was fitted on and the ``held_out`` tenth of texts alike."""
     docs = read(spark, sf_dir, "documents")
-    return identify(docs, fit(docs))
+    return identify(docs, fit(docs.where(~held_out(F.col("text")))))
+
+
+def held_out(text: Column) -> Column:
+    """Whether a text is kept from the query's fit; equal texts share their fate. A null text is not, but is never fitted on."""
+    return F.coalesce(F.pmod(F.xxhash64(text), F.lit(HELD_OUT_PARTS)) == 0, F.lit(False))

@@ -8,6 +8,7 @@ Long matches are then chained, template by template, into spans that cover the t
 from __future__ import annotations
 
 import bisect
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from fieldspark.llm.shared import LOWER, as_bytes, col, joined, read, slices, sp
 
 #: Matches of fewer words in a row are not chained (whole templates that are shorter are).
 MIN_MATCH = 3
+#: Templates of more words are long: of those, matches must have so many words.
+LONG_WORDS, LONG_MATCH = 200, 8
 #: A span is reported if it covers at least this share of its template's words.
 MIN_COVER = 0.8
 #: Between two chained matches, at most so many words of the text may stand that aren't the template's.
@@ -116,23 +119,32 @@ class Taken:
         return True
 
 
+class Kind:
+    """Some of the templates: their automaton, the pairs of words that they hold, and the words of their shortest match."""
+
+    def __init__(self, lists: list[list[int]], members: list[int], words: int, least: int):
+        self.members, self.least = members, least
+        self.automaton = Automaton([lists[n] for n in members])
+        self.pairs = np.unique(np.array([a * (words + 1) + b for n in members for a, b in zip(lists[n], lists[n][1:])], np.int64))
+
+
 class Scanner:
     """The templates' automaton and what is looked for with it."""
 
     def __init__(self, templates: list[tuple[str, str]], min_match: int, min_cover: float, max_gap: int):
         self.names = [name for name, _ in templates]
-        self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
+        self.min_cover, self.max_gap = min_cover, max_gap
         raw = [np.frombuffer(text.encode(), np.uint8) for _, text in templates]
         hashed = [span_hashes(LOWER[b], *words_of(b)) for b in raw]
         self.sizes = [len(h) for h in hashed]
         if not all(self.sizes):
             raise ValueError("a template has no words")
         self.vocabulary = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
-        self.lists = lists = [np.searchsorted(self.vocabulary, h).tolist() for h in hashed]
-        self.automaton = Automaton(lists)
-        n = len(self.vocabulary) + 1
-        self.pairs = np.unique(np.array([a * n + b for x in lists for a, b in zip(x, x[1:])], np.int64))
-        self.least = min([min_match, *self.sizes]) if lists else 1
+        self.lists = [np.searchsorted(self.vocabulary, h).tolist() for h in hashed]
+        self.min_match = [min(max(min_match, LONG_MATCH) if n > LONG_WORDS else min_match, n) for n in self.sizes]
+        # short and long templates have an automaton each, so that common runs of few words needn't be sought in the long ones
+        kinds = [[n for n, size in enumerate(self.sizes) if (size > LONG_WORDS) == long] for long in (False, True)]
+        self.kinds = [Kind(self.lists, some, len(self.vocabulary), min(self.min_match[n] for n in some)) for some in kinds if some]
 
     def symbols(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the words in the templates' vocabulary; those that it doesn't have get its size."""
@@ -141,41 +153,41 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.vocabulary, h), none - 1)
         return np.where(self.vocabulary[at] == h, at, none)
 
-    def stretches(self, symbols: np.ndarray) -> list[tuple[int, int]]:
-        """Ranges of words outside of which no match can be long enough.
+    def stretches(self, kind: Kind, symbols: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of words outside of which no match with a kind of templates can be long enough.
 
         Each word of a match of k words but the first makes a pair with the one before that some template
         holds, so the automaton need only see runs of such pairs; what it finds there is the same.
         """
         n = len(self.vocabulary) + 1
-        if self.least == 1:
+        if kind.least == 1:
             good = symbols < n - 1
             edge = np.flatnonzero(np.diff(np.r_[False, good, False].astype(np.int8)))
             return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
         pair = symbols[:-1] * n + symbols[1:]
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        edge = np.flatnonzero(np.diff(np.r_[False, self.pairs[at] == pair, False].astype(np.int8)))
+        at = np.minimum(np.searchsorted(kind.pairs, pair), len(kind.pairs) - 1)
+        edge = np.flatnonzero(np.diff(np.r_[False, kind.pairs[at] == pair, False].astype(np.int8)))
         low, high = edge[::2], edge[1::2] + 1
-        long = high - low >= self.least
+        long = high - low >= kind.least
         return list(zip(low[long].tolist(), high[long].tolist()))
 
-    def matches(self, symbols: list[int], shift: int) -> Iterator[tuple[int, int, int, int]]:
+    def matches(self, kind: Kind, symbols: list[int], shift: int) -> Iterator[tuple[int, int, int, int]]:
         """(template, its first word, text's first word, words) of each maximal long match.
 
         At each word, the suffix links lead from the longest run to those that end elsewhere too, so each
         place of a template is met with the longest run that ends there.
         """
-        a = self.automaton
+        a = kind.automaton
         for i, (state, size) in enumerate(a.stream(symbols)):
             after = symbols[i + 1] if i + 1 < len(symbols) else -1
             met: set[tuple[int, int]] = set()
-            while state and size >= self.least:
+            while state and size >= kind.least:
                 for place in a.ends[state]:
                     if place not in met:
                         met.add(place)
-                        n, at = place
+                        n, at = kind.members[place[0]], place[1]
                         more = at + 1 < self.sizes[n] and self.lists[n][at + 1] == after
-                        if not more and size >= min(self.min_match, self.sizes[n]):
+                        if not more and size >= self.min_match[n]:
                             yield n, at - size + 1, shift + i - size + 1, size
                 state = a.link[state]
                 size = a.length[state]
@@ -230,10 +242,11 @@ class Scanner:
         place = np.full(len(apart), -1, np.int64)
         place[where] = np.arange(len(symbols))
         by: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for low, high in self.stretches(apart):
-            shift = int(place[low])
-            for n, at, p, size in self.matches(apart[low:high].tolist(), shift):
-                by[int(text_of[p]), n].append((at, p, size))
+        for kind in self.kinds:
+            for low, high in self.stretches(kind, apart):
+                shift = int(place[low])
+                for n, at, p, size in self.matches(kind, apart[low:high].tolist(), shift):
+                    by[int(text_of[p]), n].append((at, p, size))
         spans: dict[int, list[tuple[int, float, int, int, int]]] = defaultdict(list)
         for (t, n), found in by.items():
             if sum(size for _, _, size in found) >= self.min_cover * self.sizes[n]:
@@ -247,9 +260,22 @@ class Scanner:
         return out
 
 
-def _scan(templates: list[tuple[str, str]], min_match: int, min_cover: float, max_gap: int):
+_scanners: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, shared: object, how: tuple) -> Scanner:
+    """The scanner of that name, built once in each Python worker."""
+    if name not in _scanners:
+        _scanners.clear()
+        _scanners[name] = Scanner(shared.value, *how)
+    return _scanners[name]
+
+
+def _scan(shared: object, *how: float):
+    name = uuid.uuid4().hex
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, min_match, min_cover, max_gap)
+        scanner = _scanner(name, shared, how)
         for batch in batches:
             raw = as_bytes(batch.column(0))
             for i, j in slices(raw):
@@ -267,7 +293,7 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
 
     Words are runs of ASCII letters and digits and of all other signs beyond ASCII; case and what stands
     between them don't count. Matches are maximal runs of at least ``min_match`` words (or a whole
-    shorter template); a chain of them, in order in both, with at most ``max_gap`` foreign words between
+    shorter template; LONG_MATCH words of a template of more than LONG_WORDS); a chain of them, in order in both, with at most ``max_gap`` foreign words between
     two, is a span if it covers at least ``min_cover`` of the template. begin and end are bytes of the
     UTF-8 text, words the template's words that are covered, share their part of the template.
     Where spans overlap, that with most words stays; ties go to the fuller template, then to the one
@@ -278,7 +304,8 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
     are streamed, whatever their length. One pass without a shuffle; the automaton's size is that of
     the templates.
     """
-    scan = _scan([*(TEMPLATES if templates is None else templates)], min_match, min_cover, max_gap)
+    shared = df.sparkSession.sparkContext.broadcast([*(TEMPLATES if templates is None else templates)])
+    scan = _scan(shared, min_match, min_cover, max_gap)
     kind = df.select(col(doc_id)).schema[0].dataType.simpleString()
     out = df.select(col(text).cast("string"), col(doc_id)).mapInArrow(scan, f"id {kind}, license string, begin int, end int, words int, share double")
     return out.withColumnRenamed("id", doc_id)

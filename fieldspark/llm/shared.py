@@ -129,7 +129,7 @@ class Recent:
         """Which of these distinct hashes aren't remembered; all are from now on."""
         at = hashes & self.mask
         fresh = self.slots[at] != hashes
-        self.slots[at] = hashes
+        self.slots[at[fresh]] = hashes[fresh]
         return fresh
 
 

@@ -113,6 +113,33 @@ def test_simhash_recall_and_precision(spark):
     assert np.mean([top(i) == top(j) for i, j in zip(a.tolist(), b.tolist())]) >= 0.9
 
 
+def test_large_cells_are_split_without_loss(spark, sf):
+    df = read(spark, sf, "documents")
+    whole, split = ({tuple(r) for r in simhash.near_groups(df, block=b).collect()} for b in (simhash.BLOCK, 2))
+    assert whole == split and whole
+
+
+def test_fingerprints_equal_plain_python():
+    texts = ["a b c", "The the THE cat", "", "word " * 5000 + "other", " ".join(f"w{i}" for i in range(70_000)), "ü é 漢字 \n x"]
+    table = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64).tolist()
+    full = 2**64 - 1
+
+    def mixed(h: int) -> int:
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    def word_hash(w: bytes) -> int:
+        total = sum((table[c] * 2 + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, c in enumerate(w))
+        return mixed(total + len(w) * 0xD6E8FEB86659FD93 & full)
+
+    for text, got in zip(texts, simhash.fingerprints([t.encode() for t in texts]).tolist()):
+        hashes = [word_hash(w.encode()) for w in set(brute.words(text))]
+        for k, value in enumerate(got):
+            bits = [mixed((h + (k + 1) * 0x9E3779B97F4A7C15) & full) for h in hashes]
+            assert value == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in bits) > len(bits))
+
+
 def test_segment_counts_are_a_lower_bound():
     f = np.random.default_rng(0).integers(0, 1 << 63, (200, 3), dtype=np.uint64)
     counts = simhash.segment_counts(f).astype(int)
