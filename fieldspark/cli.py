@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--examples", help="file with a JSON list of examples")
         c.add_argument("--include-extra", action="store_true")
         c.add_argument("--model")
+        c.add_argument("--out", help="folder for the records, reports and errors as JSON lines; without it they are printed")
         if name == "batch":
             c.add_argument("--max-concurrency", type=int)
     return p
@@ -63,6 +64,10 @@ def main(args: list[str] | None = None) -> int:
         rows = parts(read_files(spark, paths)).withColumn("group_id", F.lit(i))
         files = rows if files is None else files.unionByName(rows)
     result = Engine(spark, config=config).batch(files, schema, found.prompt, examples=examples, extra=found.include_extra)
+    if found.out:  # nothing is gathered on the driver
+        for name in ("data", "report", "errors"):
+            getattr(result, name).write.mode("overwrite").json(f"{found.out}/{name}")
+        return 0
     out = shown(result, "group_id")
     json.dump(out["0"] if found.command == "extract" and "0" in out else out, sys.stdout, indent=2, ensure_ascii=False, default=str)
     print()

@@ -72,6 +72,22 @@ def document_text(pages: DataFrame, doc: str, page_no: str = "page_no", text: st
     return whole.select(doc, F.array_join(parts, "\n\n").alias("text"), F.size("ps").alias("n_pages"))
 
 
+def recommended_text(pages: DataFrame, doc: str, page_no: str = "page_no", text: str = "text", images: str = "n_images", ocr: str | None = None, sample: int = SAMPLE) -> DataFrame:
+    """(doc, method, text, n_pages): each document's text by the method that ``analyze`` recommends for it.
+
+    The text layer alone; or, where ``ocr`` names a column, the images of thin pages (hybrid) or of all pages (ocr,
+    vision). Without that column everything is read from the text layer. One join on the document, by its few columns.
+    """
+    found = analyze(pages, doc, page_no, text, images, sample).select(doc, "method")
+    if ocr is None:
+        return found.join(document_text(pages, doc, page_no, text), doc, "left").select(doc, "method", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+    by = pages.join(found, doc)
+    layer = document_text(by.where("method = 'text_layer'"), doc, page_no, text)
+    seen = by.where("method <> 'text_layer'").withColumn("_layer", F.when(F.col("method") == "hybrid", F.col(text)))
+    both = layer.unionByName(document_text(seen, doc, page_no, "_layer", ocr))
+    return found.join(both, doc, "left").select(doc, "method", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+
+
 def complexity(files: DataFrame, group: str, kind: str = "kind", size: str = "size", pages: str = "n_pages") -> DataFrame:
     """(group, n_files, total_pages, est_tokens, kinds): how much there is to read in each group of files."""
     n = F.when(F.col(kind) == "pdf", F.coalesce(F.col(pages), F.greatest(F.lit(1).cast("long"), F.floor(F.col(size) / 50_000)))).when(F.col(kind) == "image", 1).otherwise(0)

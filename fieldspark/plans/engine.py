@@ -170,7 +170,10 @@ class Engine:
         asked = S.output_schema(schema, extra)
         fields = len(asked.get("properties", {}))
         if S.is_array(asked) or self.config.multipass or not self.config.field_chunking or fields < _WIDE_IF_LONG:
-            return self._extract(inner, schema, prompt, examples, extra, least).renamed(doc)
+            try:
+                return self._extract(inner, schema, prompt, examples, extra, least).renamed(doc)
+            except MultiPassError as e:
+                raise MultiPassError(e.result.renamed(doc), e.failed) from None
         request = prompts.full_prompt(prompt, examples)
         if fields >= _WIDE:
             return self._by_group(inner, asked, request, least).renamed(doc)
@@ -328,6 +331,10 @@ class Engine:
         out = self.extract(docs, schema, prompt, group, **how)
         return Result(out.data.join(docs.select(group, "group_key"), group), out.report, out.errors, out.provenance)
 
+    def batch_improved(self, files: DataFrame, schema: Any, improver: Any, prompt: str = "", **how: Any) -> dict:
+        """``batch`` with room for extra facts, and what ``improve`` makes of its results."""
+        return self.improve(self.batch(files, schema, prompt, **(how | {"extra": True})), S.to_schema(schema), prompt, improver)
+
     def _trace(self, merged: DataFrame, chunks: DataFrame, schema: S.Schema, doc: str) -> DataFrame:
         """The source of every field, of nested ones by their dotted paths."""
         v, leaves = F.try_parse_json("value"), []

@@ -17,7 +17,7 @@ from fieldspark.plans import prompts
 from fieldspark.plans import schema as S
 from fieldspark.plans.extractors import RULES
 from fieldspark.plans.validate import pruned
-from fieldspark.queries.merges import _PAGE, _pages
+from fieldspark.queries.merges import _PAGE, PDF_CLASSIFY, _pages
 from fieldspark.queries.schemas import _CUSTOMER_SQL, CUSTOMER, _customers
 from fieldspark.queries.segments import _pack_sql
 from fieldspark.session import table
@@ -199,6 +199,20 @@ SELECT conv_id, string_agg('--- PAGE ' || page_no || CASE WHEN thin THEN ' (OCR)
 """
 
 
+def document_text_recommended(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's text by the method that fits it; every page has a text of its image."""
+    rows = _pages(spark, sf).withColumn("ocr", F.concat(F.lit("seen "), F.col("page_no").cast("string")))
+    return pages.recommended_text(rows, "conv_id", ocr="ocr", sample=3)
+
+
+DOCUMENT_TEXT_RECOMMENDED = f"""
+WITH m AS (SELECT conv_id, method FROM ({PDF_CLASSIFY})), q AS (SELECT p.conv_id, m.method, page_no, coalesce(text, '') AS t, method <> 'text_layer' AND (method <> 'hybrid' OR length(trim(coalesce(text, ''), ' ')) < 100) AS thin FROM ({_PAGE}) p JOIN m USING (conv_id)),
+r AS (SELECT conv_id, method, page_no, thin, CASE WHEN thin THEN 'seen ' || page_no WHEN method = 'text_layer' THEN t ELSE trim(t, ' ') END AS body FROM q)
+SELECT conv_id, method, coalesce(string_agg('--- PAGE ' || page_no || CASE WHEN thin THEN ' (OCR) ---' ELSE ' ---' END || chr(10) || body, chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE regexp_matches(body, '\\S')), '') AS text,
+  count(*) FILTER (WHERE regexp_matches(body, '\\S'))::INT AS n_pages FROM r GROUP BY conv_id, method
+"""
+
+
 def cost_passes(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of an order as passes, some of which have no price."""
     cost = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 3 != 0, F.col("l_quantity").cast("double") / 8)
@@ -208,7 +222,7 @@ def cost_passes(spark: SparkSession, sf: str) -> DataFrame:
 COST_PASSES = "SELECT l_orderkey, sum(CASE WHEN (l_orderkey + l_linenumber) % 3 <> 0 THEN l_quantity::DOUBLE / 8 END) AS cost_usd FROM lineitem GROUP BY 1"
 
 _NAMED = (
-    schema_split, schema_optional, schema_metadata, schema_size, schema_focused, leaves_found, prompt_known, prompt_chunks, items_and_report, productive_chunks, pruned_records, document_text_hybrid, cost_passes,
+    schema_split, schema_optional, schema_metadata, schema_size, schema_focused, leaves_found, prompt_known, prompt_chunks, items_and_report, productive_chunks, pruned_records, document_text_hybrid, document_text_recommended, cost_passes,
 )
 QUERIES = {f.__name__: f for f in _NAMED}
 SQL = {k: globals()[k.upper()] for k in QUERIES}

@@ -201,3 +201,97 @@ def test_second_pass_of_a_deep_schema(spark, docs):
     for k in reversed(range(7)):
         got = got[f"n{k}"]
     assert got["leaf"] == "x"
+
+
+def test_files_keep_the_order_of_their_paths(spark, tmp_path, monkeypatch):
+    for name in ("data.txt", "a.txt", "x/a.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("HOME", str(tmp_path))
+    rows = files.read_files(spark, ["data.txt", "a.txt", "~/x/a.txt"]).orderBy("file_ord").collect()
+    assert [bytes(r.content).decode() for r in rows] == ["data.txt", "a.txt", "x/a.txt"]
+
+
+def test_broken_archives_are_told(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(b"PK no archive")
+    row = files.parts(files.read_files(spark, [str(tmp_path / "bad.zip")])).first()
+    assert "BadZipFile" in row.error and row.text is None and bytes(row.content) == b"PK no archive"
+
+
+def test_too_many_failed_passes(spark):
+    from fieldspark.plans.engine import MultiPassError
+
+    def fails(text, schema, prompt):
+        if "bad" in text and "Pass 1 " not in prompt:
+            raise ValueError("no")
+        return {"a": text}
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad")], "doc_id long, text string")
+    schema = {"type": "object", "properties": {"a": {"type": "string"}}}
+    run = lambda **how: Engine(spark, CallableExtractor(fails), Config(multipass=True, max_workers=2, max_retries=1, **how)).extract(df, schema)
+    out = run()
+    assert {r.doc_id: r.data for r in out.data.collect()} == {1: '{"a":"good"}', 2: '{"a":"bad"}'}
+    assert {r.doc_id: r.n_failed_passes for r in out.report.collect()} == {1: 0, 2: 2}
+    assert [r.doc_id for r in run(fail_threshold=1).data.collect()] == [1]
+    with pytest.raises(MultiPassError) as raised:
+        run(fail_threshold=0, fail_fast=True)
+    assert raised.value.failed == 1 and [r.doc_id for r in raised.value.result.data.collect()] == [1]
+
+
+def test_chunks_are_told_their_place(spark):
+    seen = lambda text, schema, prompt: {"a": [prompt.split("\n")[0][:40]]}
+    df = spark.createDataFrame([(1, "One. " * 40), (2, "Two.")], "doc_id long, text string")
+    schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "string"}}}}
+    words = lambda text: F.length(text) * 1000
+    engine = Engine(spark, CallableExtractor(seen), Config(adaptive=False, max_workers=2), counter=words)
+    got = {r.doc_id: json.loads(r.data)["a"] for r in engine.extract(df, schema, "Go.", least=50).data.collect()}
+    assert len(got[2]) == 1 and "part" not in got[2][0]
+    assert len(got[1]) == 5 and all(x.startswith(f"This is part {i + 1} of about") for i, x in enumerate(got[1]))
+
+
+def test_retries_read_the_pages_around_what_was_found(spark):
+    """Only the chunk with an item and its neighbours are read again, and the one that was unsure."""
+
+    def lists(text, schema, prompt):
+        again = "earlier attempt" in prompt
+        items = [{"name": w} for w in text.split() if w.startswith("item") or (again and w.startswith("late"))]
+        return {"items": items, "extraction_metadata": {"items_found": len(items), "extraction_complete": again or "item" not in text, "completeness_confidence": 1.0, "reason": "r"}}
+
+    pages = [f"--- PAGE {n} --- {w} filler." for n, w in enumerate(("late1", "late2", "item3", "late4", "late5"), 1)]
+    df = spark.createDataFrame([(1, " ".join(pages))], "doc_id long, text string")
+    schema = {"type": "array", "items": {"type": "object", "properties": {"name": {"type": "string"}}}}
+    words = lambda text: F.length(text) * 1000
+    engine = Engine(spark, CallableExtractor(lists), Config(completeness_retry=True, max_workers=2), counter=words)
+    got = [json.loads(r.data)["name"] for r in engine.extract(df, schema, least=30).data.collect()]
+    assert sorted(got) == ["item3", "late2", "late4"]
+
+
+def test_wide_schemas_by_size(spark):
+    seen = lambda text, schema, prompt: {k: str(len(schema["properties"])) for k in schema["properties"]}
+    schema = {"type": "object", "properties": {f"x{i}": {"type": "string"} for i in range(22)}}
+    df = spark.createDataFrame([(1, "short"), (2, "long " * 11_000)], "doc_id long, text string")
+    out = Engine(spark, CallableExtractor(seen), Config(adaptive=False, max_workers=2)).extract(df, schema)
+    assert {r.doc_id: {*json.loads(r.data).values()} for r in out.data.collect()} == {1: {"22"}, 2: {"15", "7"}}
+
+
+def test_batch_and_improvements(spark):
+    df = spark.createDataFrame([(1, 0, "a.txt", "x"), (1, 1, "b.txt", "y"), (2, 0, "c.txt", "z")], "group_id long, file_ord int, path string, text string")
+    say = lambda text, schema, prompt: {"a": "1", "extra": {"colour": "red"}}
+    told = []
+    schema = {"type": "object", "properties": {"a": {"type": "string"}}}
+    out = Engine(spark, CallableExtractor(say), Config(adaptive=False, max_workers=2)).batch_improved(df, schema, lambda p: told.append(p) or {"prompt": "better"}, "Go.")
+    assert out["improved_user_prompt"] == "better" and out["improved_schema"] == schema and '"colour": 2' in told[0]
+
+
+def test_json_logs():
+    import io
+
+    from fieldspark.logs import setup_logging
+
+    out = io.StringIO()
+    log = setup_logging("INFO", out)
+    log.info("read %d files", 3, extra={"run": "r1"})
+    log.debug("not shown")
+    line = json.loads(out.getvalue())
+    assert (line["message"], line["run"], line["level"]) == ("read 3 files", "r1", "info")
