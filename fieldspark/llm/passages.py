@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import LOWER, Recent, as_bytes, blocked, checkpointed, col, components, groups_of, joined, local_roots, mix, read, sequence_hashes, signed, slices, sliding_least, span_hashes, word_spans
+from fieldspark.llm.shared import LOWER, Recent, as_bytes, blocked, checkpointed, col, components, groups_of, joined, local_roots, mix, ragged, read, sequence_hashes, signed, slices, sliding_least, span_hashes, word_spans
 
 #: A verbatim passage of so many words is always found, and a shorter one isn't reported.
 MIN_WORDS = 51
@@ -276,35 +276,50 @@ def _extended(most: int, wanted: object | None):
 def similar(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Edges that connect the components of the pairs with at least that Jaccard similarity.
 
-    A search from each set in turn: every set that is reached is compared with all that aren't yet. So
-    each component is found whole, and a group of close copies costs one comparison for each of them.
+    A search from each set in turn: every set that is reached is compared with those that aren't yet and share
+    a value with it. So each component is found whole, close copies cost one comparison each, and unlike sets
+    none but for what they have in common. The index of values is made anew when half of its sets are reached.
     """
     if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
         return [(0, 1)] if both and both >= threshold * (len(sets[0]) + len(sets[1]) - both) - 1e-9 else []
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
     _, values = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    left = np.ones(len(sets), bool)
-    edges, mark = [], np.zeros(values.max() + 1, bool)
-    for seed in range(len(sets)):
+    ends, total = np.cumsum(sizes), int(values.max()) + 1
+    everywhere = np.bincount(values, minlength=total) == n  # as the anchor is: counted, but not sought
+    common = int(everywhere.sum())
+    left, edges = np.ones(n, bool), []
+    post = first = np.zeros(0, np.int64)
+    indexed = 0  # sets in the index, some of which may have been reached since
+    for seed in range(n):
         if not left[seed]:
             continue
         left[seed] = False
         queue = [seed]
-        while queue and len(owner):
+        while queue:
+            rest = int(left.sum())
+            if not rest:
+                return edges
+            if not indexed or rest * 2 <= indexed:
+                keep = left[owner] & ~everywhere[values]
+                order = np.argsort(values[keep], kind="stable")
+                post, first = owner[keep][order], np.searchsorted(values[keep][order], np.arange(total + 1))
+                indexed = rest
             v = queue.pop()
             mine = values[ends[v] - sizes[v] : ends[v]]
-            mark[mine] = True
-            both = np.bincount(owner, mark[values], len(sets)) if left.any() else np.zeros(len(sets))
-            mark[mine] = False
-            near = np.flatnonzero(left & (both > 0) & (both >= threshold * (sizes + sizes[v] - both) - 1e-9))
+            mine = mine[~everywhere[mine]]
+            many = first[mine + 1] - first[mine]
+            hit = post[np.repeat(first[mine], many) + ragged(many)]
+            if common and common >= threshold * (sizes[left].min() + sizes[v] - common) - 1e-9:
+                which, both = np.arange(n), np.bincount(hit, minlength=n)  # what all have may be enough
+            else:
+                which, both = np.unique(hit, return_counts=True)
+            both = both + common
+            near = which[left[which] & (both > 0) & (both >= threshold * (sizes[which] + sizes[v] - both) - 1e-9)]
             left[near] = False
             edges += [(v, x) for x in near.tolist()]
             queue += near.tolist()
-            if not left.any():
-                return edges
     return edges
 
 

@@ -264,6 +264,10 @@ def test_similar_sets_equal_brute_force():
         sets = [np.unique(np.where(rng.random(12) < 0.2, rng.integers(0, 60, 12), base[rng.integers(4)])) for _ in range(14)]
         near = [(i, j) for i in range(14) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))]
         assert brute.roots(14, passages.similar(sets, 0.5)) == brute.roots(14, near)
+        if _ % 2:  # all hold the same values besides
+            sets = [np.r_[x, 100 + np.arange(_)] for x in sets]
+            near = [(i, j) for i in range(14) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))]
+            assert brute.roots(14, passages.similar(sets, 0.5)) == brute.roots(14, near)
 
 
 def test_passages_awkward(spark, awkward, empty):
