@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.functions.paths import items_of, report_of, successful_leaves
-from fieldspark.operators import completeness, pages, segment, usage
+from fieldspark.operators import completeness, pages, provenance, segment, usage
 from fieldspark.plans import prompts
 from fieldspark.plans import schema as S
 from fieldspark.plans.extractors import RULES
@@ -213,6 +213,15 @@ SELECT conv_id, method, coalesce(string_agg('--- PAGE ' || page_no || CASE WHEN
 """
 
 
+def confidence_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Discounts taken as confidences, all of which are valid, and some that are missing."""
+    given = F.when(F.col("l_linenumber") != 2, F.col("l_discount").cast("double") * 10)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(provenance.checked_confidence(given), 6).alias("confidence"))
+
+
+CONFIDENCE_CHECKED = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN round(l_discount::DOUBLE * 10, 6) END AS confidence FROM lineitem"
+
+
 def cost_passes(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of an order as passes, some of which have no price."""
     cost = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 3 != 0, F.col("l_quantity").cast("double") / 8)
@@ -222,7 +231,7 @@ def cost_passes(spark: SparkSession, sf: str) -> DataFrame:
 COST_PASSES = "SELECT l_orderkey, sum(CASE WHEN (l_orderkey + l_linenumber) % 3 <> 0 THEN l_quantity::DOUBLE / 8 END) AS cost_usd FROM lineitem GROUP BY 1"
 
 _NAMED = (
-    schema_split, schema_optional, schema_metadata, schema_size, schema_focused, leaves_found, prompt_known, prompt_chunks, items_and_report, productive_chunks, pruned_records, document_text_hybrid, document_text_recommended, cost_passes,
+    schema_split, schema_optional, schema_metadata, schema_size, schema_focused, leaves_found, prompt_known, prompt_chunks, items_and_report, productive_chunks, pruned_records, document_text_hybrid, document_text_recommended, confidence_checked, cost_passes,
 )
 QUERIES = {f.__name__: f for f in _NAMED}
 SQL = {k: globals()[k.upper()] for k in QUERIES}
