@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import as_bytes, col, ragged, read, slices, span_hashes
+from fieldspark.llm.shared import as_bytes, col, ragged, read, slices, small, span_hashes
 
 #: Rank file of the vocabulary: a base64 token and its rank on each line. It is read on the driver and sent to the executors.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -325,7 +325,7 @@ def shipped(spark: SparkSession, path: str) -> Callable[[], Encoder]:
 def _encode(coder_of: Callable[[], Encoder], at: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of()
-        for batch in batches:
+        for batch in small(batches, OUT_ROWS):
             raw = as_bytes(batch.column(at))
             null = batch.column(at).is_null().to_numpy(zero_copy_only=False)
             for lo, hi in slices(raw, SLICE):

@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import as_bytes, checkpointed, col, joined, mix, read, sequence_hashes, signed, slices, sliding_least, span_hashes
+from fieldspark.llm.shared import as_bytes, checkpointed, col, joined, mix, read, sequence_hashes, signed, slices, sliding_least, small, span_hashes
 
 #: Repeated runs of at least so many lines are deleted ...
 MIN_RUN = 3
 #: ... and shorter ones that have so many characters, line ends left out.
 MIN_CHARS = 300
+#: Bytes of text whose lines a task hashes at once.
+PIECE_BYTES = 1 << 18
 #: Lines in a fingerprint.
 GRAM = 2
 
@@ -60,9 +62,9 @@ def line_runs(texts: list[bytes], min_run: int, min_chars: int, gram: int) -> It
 
 def _winnow(min_run: int, min_chars: int, gram: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw = as_bytes(batch.column(0))
-            for i, j in slices(raw):
+            for i, j in slices(raw, PIECE_BYTES):
                 for text, lines, size, at, own, follow, runs in line_runs(raw[i:j], min_run, min_chars, gram):
                     rest = batch.slice(i, j - i).take(pa.array(text))
                     numbers = [pa.array(x.astype(np.int32)) for x in (lines, size, at)]

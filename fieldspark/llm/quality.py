@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import col, read
+from fieldspark.llm.shared import col, read, small
 
 #: A line is boilerplate of a host if more distinct documents than this carry it there ...
 MIN_DOCS = 20
@@ -53,7 +53,7 @@ def _key(host: int, line: int) -> int:
 
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, line, doc) once for each distinct line of a document, and line 0 for the document itself."""
-    for batch in batches:
+    for batch in small(batches):
         hosts, lines, docs = [], [], []
         for text, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text is None:
@@ -78,7 +78,7 @@ def frequent_lines(df: DataFrame, text: str = "text", host: str = "source", min_
 def _cleaner(keys: object, min_kept: float, text_at: int, host_at: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set(keys.value.tolist())
-        for batch in batches:
+        for batch in small(batches):
             kept_rows, texts, totals, removed = [], [], [], []
             for row, (text, host) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(host_at).to_pylist())):
                 if text is None:

@@ -100,6 +100,13 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield i, len(texts)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, as Python's copies of texts take several times their room."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; nulls become empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm.bpe import SLICE, VOCABULARY, Encoder, shipped
-from fieldspark.llm.shared import as_bytes, col, read, slices
+from fieldspark.llm.shared import as_bytes, col, read, slices, small
 
 
 def _count(coder_of: Callable[[], Encoder]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of()
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).drop_null()
             raw = as_bytes(texts)
             for i, j in slices(raw, SLICE):
