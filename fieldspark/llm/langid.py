@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.shared import SPACE, Recent, as_bytes, col, mix, ragged, read, slices, span_hashes
+from fieldspark.llm.shared import SPACE, Recent, as_bytes, col, mix, ragged, read, slices, small, span_hashes
 
 #: Labelled documents that the model is fitted on, for each language at most; those of the least hashes.
 FIT_DOCS = 1500
@@ -28,7 +28,7 @@ SWITCH = 12.0
 #: A word scores at most so many nats better in one language than in another, so no single word outweighs a switch.
 CLIP = 8.0
 #: Bytes of text labelled at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Scores of words that a task remembers, by slots of a table; a word whose slot was taken is scored anew.
 KNOWN_BITS = 17
 #: Of ten parts of the distinct texts, by hash, the query's model is fitted on all but the first; so the README's accuracy is of texts that it never saw.
@@ -289,7 +289,7 @@ def _labelled(shared: object, switch: float, clip: float):
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value, switch, clip)
         names = np.array([*labeller.labels, NONE], dtype=object)
-        for batch in batches:
+        for batch in small(batches, 1024):
             raw = as_bytes(batch.column(0))
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for i, j in slices(raw, SLICE):
