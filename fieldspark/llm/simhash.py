@@ -1,11 +1,13 @@
 """Operator 8, SimHash near-dedup with a segment-popcount embedding.
 
-A document's 192-bit fingerprint is cut into 48 segments of 4 bits, and each segment is mapped to its
-bit count. The Manhattan distance of two such vectors is never above the Hamming distance of the
-fingerprints. The segments are taken in groups of six, in two arrangements whose groups share one segment
-at most; a grid range-join finds, group by group, the fingerprints whose counts differ by at most 1 in
-all, and each candidate pair is then verified by its exact Hamming distance. Components of the verified
-pairs are the groups of copies.
+A document's 192-bit fingerprint is cut into segments, and each segment is mapped to its bit count. The
+Manhattan distance of two such vectors is never above the Hamming distance of the fingerprints; with
+segments of one bit, as in the join, it is equal to it. Wider segments lose bits, so that a search over
+them is either incomplete or compares nearly all pairs. The segments are taken in 16 groups of 12: of two
+fingerprints at most 30 bits apart the counts differ by at most 1 in one of the first 15 groups, or not at
+all in the last, as they would be 31 apart otherwise. A grid range-join finds the pairs that do so, group by
+group, and each is then verified by its exact Hamming distance. So every pair is found. Components of the
+verified pairs are the groups of copies.
 """
 
 from __future__ import annotations
@@ -24,18 +26,21 @@ WORDS64 = 3
 BITS = 64 * WORDS64
 #: Fingerprints at most so many bits apart are copies (15.6 % of the bits).
 MAX_DISTANCE = 30
-#: Segments of 4 bits in a group; 8 groups of 24 bits in each arrangement.
-GROUP_SEGMENTS = 6
-#: Ways in which the segments are put into groups.
-ARRANGEMENTS = 2
+#: Bits of a segment in the join.
+SEGMENT_BITS = 1
+#: Neighbouring groups whose bits are compared before whole fingerprints are.
+SPAN = 4
+#: A cell is its group's number from this bit on, and below it the group's counts, or a hash if the cell is split.
+CELL_BITS = 50
 #: Fingerprints at home in a cell that one task compares with each other; larger cells are split into blocks.
 BLOCK = 20_000
 #: Rows of a tile in which pairs are compared.
 TILE = 1024
+#: Pairs of a cell that are held before a star for each of their components replaces them.
+HELD_PAIRS = 1 << 20
 
 #: Four 16-bit counters in a 64-bit value, one for each bit of a nibble.
 _SPREAD = np.array([sum(((n >> i) & 1) << (16 * i) for i in range(4)) for n in range(16)], np.uint64)
-_POPCOUNT4 = np.array([n.bit_count() for n in range(16)], np.uint8)
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -89,37 +94,58 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield out.filter(pa.array(some))
 
 
-def segment_counts(f: np.ndarray) -> np.ndarray:
-    """(n, 48) bit counts of the 4-bit segments."""
-    b = np.ascontiguousarray(f).view(np.uint8)
-    return np.stack([_POPCOUNT4[b & 15], _POPCOUNT4[b >> 4]], axis=2).reshape(len(f), -1)
+def segment_counts(f: np.ndarray, width: int = 4) -> np.ndarray:
+    """(n, BITS / width) bit counts of the segments of so many bits."""
+    bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
+    return bits if width == 1 else bits.reshape(len(f), -1, width).sum(axis=2, dtype=np.uint8)
 
 
-def arrangement(k: int, segments: int, group_segments: int) -> np.ndarray:
-    """(groups, group_segments) segments of each group; what is left over is in none. Groups of two arrangements share few."""
-    groups = segments // group_segments
-    at = np.arange(groups * group_segments).reshape(group_segments, groups)
-    # each row of the grid is turned by k - 1 times its number, so that columns mix anew
-    return at.reshape(groups, group_segments) if k == 0 else np.stack([np.roll(row, (k - 1) * i) for i, row in enumerate(at)]).T
+def grouping(most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The segments of each group and its radius, 1 or 0: fingerprints at most so many bits apart are within the radius of some group.
+
+    The radii plus 1 add up to ``most`` + 1; so fingerprints beyond the radius of every group are further apart than ``most``.
+    """
+    most = min(most, BITS)
+    groups = np.array_split(np.arange(BITS // SEGMENT_BITS), most // 2 + 1)
+    return groups, (np.arange(len(groups)) < most + 1 - len(groups)).astype(np.int64)
 
 
-def _places(f: np.ndarray, group_segments: int, arrangements: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each group of segments the counts of each fingerprint, and its cell. There are 5 ** group_segments cells in a group."""
-    place = np.uint64(5) ** np.arange(group_segments, dtype=np.uint64)
-    counts = segment_counts(f).astype(np.uint64)
-    groups = [g for k in range(arrangements) for g in arrangement(k, counts.shape[1], group_segments)]
-    for number, group in enumerate(groups):
+def _places(f: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group the counts of each fingerprint, its cell, and what a count adds to the cell's name.
+
+    Groups of over 40 segments share names between cells, which adds pairs to verify and loses none.
+    """
+    counts = segment_counts(f, SEGMENT_BITS)
+    for number, group in enumerate(grouping(most)[0]):
+        place = (SEGMENT_BITS + 1) ** (np.arange(len(group)) % 40)
         own = counts[:, group]
-        yield own, np.uint64(number) * np.uint64(5) ** np.uint64(group_segments) + own @ place
+        yield own, (number << CELL_BITS) + own.astype(np.int64) @ place, place
 
 
-def _home_counts(group_segments: int, arrangements: int):
+def _windows(cell: np.ndarray, f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row up to 64 bits around its cell's group, and how far apart those of a pair may be.
+
+    Pairs within ``most`` are, in some SPAN of groups, within the sum of the radii plus 1, less 1, and then within the radius of one of these groups.
+    """
+    groups, radii = grouping(most)
+    spans = [range(i, min(i + SPAN, len(groups))) for i in range(0, len(groups), SPAN)]
+    begin = np.array([groups[s[0]][0] for s in spans]) * SEGMENT_BITS
+    size = np.array([min(64, sum(len(groups[g]) for g in s) * SEGMENT_BITS) for s in spans])
+    near = np.array([sum(radii[g] + 1 for g in s) - 1 for s in spans])
+    at = (cell >> CELL_BITS) // SPAN
+    word, off, row = begin[at] // 64, (begin[at] % 64).astype(np.uint64), np.arange(len(f))
+    above = np.where(word + 1 < WORDS64, f[row, np.minimum(word + 1, WORDS64 - 1)], np.uint64(0))
+    bits = f[row, word] >> off | above << np.uint64(1) << (np.uint64(63) - off)
+    return bits & (np.uint64(2**64 - 1) >> (64 - size).astype(np.uint64))[at], near[at]
+
+
+def _home_counts(most: int):
     def home_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(cell, n) of each batch."""
         for batch in batches:
             f = np.stack([batch.column(w).to_numpy() for w in range(WORDS64)], axis=1)
-            cell, n = np.unique(np.concatenate([home for _, home in _places(f, group_segments, arrangements)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(n)], ["cell", "n"])
+            cell, n = np.unique(np.concatenate([home for _, home, _ in _places(f, most)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
     return home_counts
 
@@ -138,42 +164,53 @@ def _split(rows: pa.RecordBatch, large: tuple[np.ndarray, np.ndarray]) -> pa.Rec
     other, many = ragged(times), np.repeat(times, times)
     own = (mix(out.column(2).to_numpy().view(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
     pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64)
-    name = mix(mix(out.column(0).to_numpy().view(np.uint64)) ^ pair) | np.uint64(1 << 63)  # never a small number, as cells have
-    now = np.where(many > 1, name.view(np.int64), out.column(0).to_numpy())
+    whole = out.column(0).to_numpy()
+    name = (mix(mix(whole.view(np.uint64)) ^ pair) >> np.uint64(64 - CELL_BITS)).view(np.int64)
+    now = np.where(many > 1, whole >> CELL_BITS << CELL_BITS | name | 1 << CELL_BITS - 1, whole)  # the bit is not set in other cells
     return pa.RecordBatch.from_arrays([pa.array(now), *out.columns[1:]], out.schema.names)
 
 
-def _cells(group_segments: int, arrangements: int, large: object):
+def _cells(most: int, large: object):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each fingerprint in its own cell of each group, and as a probe in the cells one count above."""
-        place = np.uint64(5) ** np.arange(group_segments, dtype=np.uint64)
+        """Each fingerprint in its own cell of each group, and as a probe in the cells one count below if the radius is 1."""
+        names, radii = ["cell", "probe", "id", "f0", "f1", "f2"], grouping(most)[1]
         for batch in batches:
             f = np.stack([batch.column(1 + w).to_numpy() for w in range(WORDS64)], axis=1)
-            for own, home in _places(f, group_segments, arrangements):
-                for probe in range(-1, group_segments):
-                    keep = np.ones(len(f), bool) if probe < 0 else own[:, probe] < 4
-                    cell = home if probe < 0 else home + place[probe]
-                    rows = pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(f), probe >= 0)), *batch.columns], ["cell", "probe", "id", "f0", "f1", "f2"])
-                    yield _split(rows if probe < 0 else rows.filter(pa.array(keep)), large.value)
+            for (own, home, place), radius in zip(_places(f, most), radii):
+                yield _split(pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.zeros(len(f), bool)), *batch.columns], names), large.value)
+                if radius:
+                    row, segment = np.nonzero(own)
+                    cell = pa.array(home[row] - place[segment])
+                    yield _split(pa.RecordBatch.from_arrays([cell, pa.array(np.ones(len(row), bool)), *batch.take(pa.array(row)).columns], names), large.value)
 
     return cells
 
 
-def close_pairs(f: np.ndarray, homes: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a home with a later home or a probe, at most so many bits apart; the first ``homes`` rows are homes."""
-    left, right = [], []
+def close_pairs(f: np.ndarray, window: np.ndarray, homes: int, near: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at most so many bits apart of a home with a later home or a probe, or as many with the same components.
+
+    The first ``homes`` rows are homes; only pairs whose windows are at most ``near`` apart are looked at.
+    """
+    left, right, held = [], [], 0
     for i in range(0, homes, TILE):
-        a = f[i : min(homes, i + TILE)]
-        for j in range(i, len(f), 8 * TILE):
-            b = f[j : j + 8 * TILE]
-            d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
-            for w in range(1, WORDS64):
-                d += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
-            x, y = np.nonzero(d <= most)
+        a = window[i : min(homes, i + TILE)]
+        for j in range(i, len(f), 4 * TILE):
+            b = window[j : j + 4 * TILE]
+            x, y = np.divmod(np.flatnonzero(np.bitwise_count(a[:, None] ^ b[None]) <= near), len(b))
             x, y = x + i, y + j
             keep = y > x
+            x, y = x[keep], y[keep]
+            d = np.zeros(len(x), np.uint8)
+            for w in range(WORDS64):
+                d += np.bitwise_count(f[x, w] ^ f[y, w])
+            keep = d <= most
             left.append(x[keep])
             right.append(y[keep])
+            held += len(left[-1])
+            if held > HELD_PAIRS:
+                root = local_roots(len(f), np.concatenate(left), np.concatenate(right))
+                moved = np.flatnonzero(root != np.arange(len(f)))
+                left, right, held = [root[moved]], [moved], 0
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -192,13 +229,14 @@ def _cell_edges(table: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.nda
     probe = table.column("probe").to_numpy(zero_copy_only=False)
     ids = table.column("id").to_numpy()
     f = np.stack([table.column(f"f{w}").to_numpy() for w in range(WORDS64)], axis=1).view(np.uint64)
+    window, near = _windows(cell, f, most)
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     for i, j in itertools.pairwise([*first.tolist(), len(cell)]):
         homes = j - i - int(probe[i:j].sum())
         if not homes or j - i < 2:
             continue
         order = i + np.argsort(probe[i:j], kind="stable")
-        x, y = close_pairs(f[order], homes, most)
+        x, y = close_pairs(f[order], window[order], homes, int(near[i]), most)
         if len(x):
             root = local_roots(j - i, x, y)
             moved = np.flatnonzero(root != np.arange(j - i))
@@ -206,21 +244,21 @@ def _cell_edges(table: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.nda
             yield own[moved], own[root[moved]]
 
 
-def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_distance: int = MAX_DISTANCE, group_segments: int = GROUP_SEGMENTS, arrangements: int = ARRANGEMENTS, block: int = BLOCK) -> DataFrame:
+def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_distance: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
     """(doc, body, keep_doc, keep_body): the documents to remove and the one of their group that stays.
 
-    The number of cells doesn't grow with the data, so the sizes of all of them fit on the driver; a cell with more
-    than ``block`` fingerprints is split into blocks, of which every two make a cell, and the result is the same.
+    The sizes of crowded cells only come to the driver; a cell with more than ``block`` fingerprints is split into
+    blocks, of which every two make a cell, and the result is the same.
     """
     docs = df.select(col(text).cast("string").alias("text"), col(doc_id).cast("bigint").alias("doc"), F.xxhash64(col(text).cast("string")).alias("body"))
     prints = checkpointed(docs.mapInArrow(_fingerprint_rows, "doc bigint, body bigint, f0 bigint, f1 bigint, f2 bigint"))
     name = F.xxhash64("f0", "f1", "f2")
     nodes = prints.groupBy("f0", "f1", "f2").agg(F.min(F.struct("doc", "body")).alias("least"), F.max(F.struct("doc", "body")).alias("most"))
     slim = nodes.select(name.alias("id"), "f0", "f1", "f2")
-    sizes = slim.select("f0", "f1", "f2").mapInArrow(_home_counts(group_segments, arrangements), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    sizes = slim.select("f0", "f1", "f2").mapInArrow(_home_counts(max_distance), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     crowded = sizes.where(F.col("n") > block).orderBy("cell").toArrow()
     large = df.sparkSession.sparkContext.broadcast((crowded.column("cell").to_numpy(), -(-crowded.column("n").to_numpy() // block)))
-    cells = slim.mapInArrow(_cells(group_segments, arrangements, large), "cell bigint, probe boolean, id bigint, f0 bigint, f1 bigint, f2 bigint")
+    cells = slim.mapInArrow(_cells(max_distance, large), "cell bigint, probe boolean, id bigint, f0 bigint, f1 bigint, f2 bigint")
     edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs(max_distance), "a bigint, b bigint")
     roots = components(edges)
     # a lone fingerprint matters only where several documents share it
@@ -232,13 +270,12 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_d
     return out.where(~(F.col("doc").eqNullSafe(F.col("keep_doc")) & (F.col("body") == F.col("keep_body")))).distinct()
 
 
-def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_distance: int = MAX_DISTANCE, group_segments: int = GROUP_SEGMENTS, arrangements: int = ARRANGEMENTS) -> DataFrame:
+def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """df with one document of each group of near copies: that with the least (doc_id, text hash), null ids first.
 
     Two documents are near copies if their fingerprints differ in at most ``max_distance`` of 192 bits;
-    groups are the components of that relation. The range-join searches a radius of 1 in each of the
-    eight groups of segments of each arrangement; it never reports a pair that is further apart, and the
-    README has the measured recall by distance.
+    groups are the components of that relation. The range-join finds every such pair, or others that
+    connect the two, and never reports a pair that is further apart.
 
     Nulls: a null or blank text has no fingerprint and always stays. Rows that repeat both id and text
     are one document: they stay or go together. Rows that share an id but not a text are two documents.
@@ -246,7 +283,7 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_di
     Ties: equal fingerprints are distance 0; the least id stays. An empty table gives an empty table.
     Other columns pass through, whatever their names.
     """
-    gone = near_groups(df, text, doc_id, max_distance, group_segments, arrangements).select("doc", "body").distinct()
+    gone = near_groups(df, text, doc_id, max_distance).select("doc", "body").distinct()
     names, n = df.columns, len(df.columns)
     t, d = names.index(text), names.index(doc_id)
     plain = df.toDF(*[f"c{i}" for i in range(n)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -75,6 +76,19 @@ def near_pairs(prints: list[list[int]], most: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(whole)) for j in range(i) if (whole[i] ^ whole[j]).bit_count() <= most]
 
 
+def edited_copies(n: int, seed: int) -> list[tuple[int, str]]:
+    """(2 i, a text of 60 rare words), (2 i + 1, the same with 4 other words) for each i: SimHash has most of the two 15 to 30 of 192 bits apart."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        copy = text[:]
+        for k in rng.sample(range(60), 4):
+            copy[k] = f"w{rng.randrange(10**6)}"
+        out += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    return out
+
+
 def roots(n: int, pairs: list[tuple[int, int]]) -> list[int]:
     up = list(range(n))
 

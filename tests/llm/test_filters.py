@@ -113,6 +113,48 @@ def test_simhash_recall_and_precision(spark):
     assert np.mean([top(i) == top(j) for i, j in zip(a.tolist(), b.tolist())]) >= 0.9
 
 
+def test_simhash_loses_no_pair(spark):
+    docs = brute.edited_copies(400, 5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    prints = simhash.fingerprints([t.encode() for _, t in docs]).tolist()
+    for most in (simhash.MAX_DISTANCE, 23, 0):
+        root = brute.roots(len(docs), brute.near_pairs(prints, most))
+        want = {(d, root[d]) for d, _ in docs if root[d] != d}
+        for block in (simhash.BLOCK, 3):
+            assert {tuple(r) for r in simhash.near_groups(df, max_distance=most, block=block).select("doc", "keep_doc").collect()} == want
+        assert bool(want) == bool(most)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 5, 6, 29, 30, 31, 64, 97])
+def test_simhash_groups_leave_no_pair_out(most):
+    """However so many bits are spread, the two fingerprints share a cell as home and home or home and probe, and pass the window."""
+    rng = np.random.default_rng(most)
+    a = rng.integers(0, 1 << 63, (300, 3), dtype=np.uint64)
+    flips = np.array([rng.permutation(simhash.BITS) < most for _ in a])
+    b = a ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    met = np.zeros(len(a), bool)
+    for (own, home, place), (other, away, _), radius in zip(simhash._places(a, most), simhash._places(b, most), simhash.grouping(most)[1]):
+        wa, near = simhash._windows(home, a, most)
+        wb, _ = simhash._windows(home, b, most)
+        within = (own != other).sum(axis=1) <= radius
+        one = (home[within] == away[within]) | np.isin(np.abs(home[within] - away[within]), place)
+        assert one.all()
+        met |= within & (np.bitwise_count(wa ^ wb) <= near)
+    assert met.all()
+
+
+def test_simhash_crowded_cell_of_copies(monkeypatch):
+    """Pairs that are replaced by stars on the way leave the components as they are."""
+    monkeypatch.setattr(simhash, "HELD_PAIRS", 50)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng = np.random.default_rng(2)
+    flips = rng.random((120, simhash.BITS)) < rng.uniform(0, 0.12, (120, 1))
+    f = np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    x, y = simhash.close_pairs(f, f[:, 0], 120, 64, simhash.MAX_DISTANCE)
+    pairs = brute.near_pairs(f.tolist(), simhash.MAX_DISTANCE)
+    assert brute.roots(120, list(zip(x.tolist(), y.tolist()))) == brute.roots(120, pairs) and len(pairs) > 1000
+
+
 def test_large_cells_are_split_without_loss(spark, sf):
     df = read(spark, sf, "documents")
     whole, split = ({tuple(r) for r in simhash.near_groups(df, block=b).collect()} for b in (simhash.BLOCK, 2))
