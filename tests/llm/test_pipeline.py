@@ -55,6 +55,15 @@ def test_pipeline_keeps_repeated_rows_together(spark, sf, tmp_path):
     assert sorted(r.doc_id for r in rows) == [1, 1, 1, 2]
 
 
+def test_pipeline_loses_no_near_copy(spark, sf, tmp_path):
+    docs = brute.edited_copies(200, 4)
+    prints = simhash.fingerprints([t.encode() for _, t in docs]).tolist()
+    root = brute.roots(len(docs), brute.near_pairs(prints, simhash.MAX_DISTANCE))
+    rows = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, _folder(tmp_path, rows, sf, spark)).collect())
+    assert got == [d for d, _ in docs if root[d] == d] and 200 < len(got) < 220
+
+
 def test_pipeline_of_nothing(spark, empty, sf, tmp_path):
     assert corpus_pipeline.run(spark, _folder(tmp_path, empty, sf, spark)).count() == 0
 
