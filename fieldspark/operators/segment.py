@@ -13,10 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.operators.batches import slices, spread_out
+
 SENTENCE = r"(?s)(?U)(.*?(?:[.!?](?=\s|\z)|\n\n\s*(?!\s))|.+\z)"
 #: As the published behaviour: text before a stop that no white space follows is lost.
 LOSSY_SENTENCE = r"(?U)([^.!?]*[.!?]+(?:\s+|$))"
 MAX_CHARS = 10_000
+#: Rows of an output batch of tokens, within a text too.
+TOKEN_ROWS = 1 << 15
 
 _TOKEN = re.compile(r"\w+|[^\w\s]|\s+")
 _SENTENCE = re.compile(r"(?s)(.*?(?:[.!?](?=\s|\Z)|\n\n\s*(?!\s))|.+\Z)")
@@ -33,8 +37,10 @@ def token_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     plain = df.select(*[F.col(k) for k in keys], F.col(text).cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(keys)])
 
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keys)):
             at, out = [], []
             for row, t in enumerate(batch.column(len(keys)).to_pylist()):
                 fresh = True
@@ -44,9 +50,10 @@ def token_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
                     out.append((k, token, m.start(), m.end(), fresh and not blank))
                     fresh = blank and (token.endswith("\n") or k == 0)
                     at.append(row)
-            cols = list(zip(*out)) or [[]] * 5
-            made = [pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))], *made], [str(i) for i in range(len(keys) + 5)])
+                    if len(out) == TOKEN_ROWS:
+                        yield spread_out(batch, len(keys), at, out, kinds)
+                        at, out = [], []
+            yield spread_out(batch, len(keys), at, out, kinds)
 
     return plain.mapInArrow(rows, f"{schema}, ord int, token string, start int, end int, after_nl boolean")
 
