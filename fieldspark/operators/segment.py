@@ -137,8 +137,10 @@ def pack(df: DataFrame, keys: list[str], text: str = "text", size: int | str = M
     plain = df.select(*[F.col(k) for k in keys], F.col(text).cast("string"), wide.cast("int")).toDF(*[f"k{i}" for i in range(len(keys) + 2)])
     schema = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(plain.schema[: len(keys)]))
 
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keys)):
             texts, sizes = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()
             rows, out = [], []
             for row, (t, n) in enumerate(zip(texts, sizes)):
@@ -146,8 +148,6 @@ def pack(df: DataFrame, keys: list[str], text: str = "text", size: int | str = M
                     for k, c in enumerate(pack_text(t, n, newlines, lossy)):
                         rows.append(row)
                         out.append((k, *c))
-            cols = list(zip(*out)) or [[]] * 5
-            made = [pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(keys))], *made], [str(i) for i in range(len(keys) + 5)])
+            yield spread_out(batch, len(keys), rows, out, kinds)
 
     return plain.mapInArrow(chunks, f"{schema}, {_CHUNK}").toDF(*keys, "chunk_id", "text", "char_start", "char_end", "n_sentences")

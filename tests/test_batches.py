@@ -55,3 +55,9 @@ def test_tokens_of_many_and_of_long_texts(spark, monkeypatch, n):
     mb, rows = most_mb(kernel(monkeypatch, df, lambda d: segment.token_rows(d, ["id"])), [*range(n)], [text] * n)
     assert rows == n * 5 * (30 * SIZE // n // 6)
     assert mb < 40  # 150 MB if tokens of all texts, or of a whole one, are held
+
+
+def test_chunks_of_many_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a")], "id long, text string")
+    mb, rows = most_mb(kernel(monkeypatch, df, lambda d: segment.pack(d, ["id"], size=1000)), [*range(400)], ["abcd efg. " * 2500] * 400, [1000] * 400)
+    assert rows == 400 * 26 and mb < 8  # the texts alone have 10 MB, and their chunks too
