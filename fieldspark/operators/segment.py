@@ -24,7 +24,8 @@ TOKEN_ROWS = 1 << 15
 
 _TOKEN = re.compile(r"\w+|[^\w\s]|\s+")
 _SENTENCE = re.compile(r"(?s)(.*?(?:[.!?](?=\s|\Z)|\n\n\s*(?!\s))|.+\Z)")
-_LOSSY = re.compile(r"([^.!?]*[.!?]+(?:\s+|$))")
+#: As LOSSY_SENTENCE, if group 1 is there; else what is lost, or the tail, in one step: a search would start in vain at each of its places.
+_LOSSY = re.compile(r"[^.!?]*+(?:[.!?]++(\s++|\Z)?|\Z)")
 _CHUNK = "chunk_id int, text string, char_start int, char_end int, n_sentences int"
 
 
@@ -87,7 +88,7 @@ def packed(parts: Column, size: int) -> Column:
 def split_sentences(text: str, lossy: bool = False) -> list[str]:
     if not lossy:
         return _SENTENCE.findall(text)
-    found = [*_LOSSY.finditer(text)]
+    found = [m for m in _LOSSY.finditer(text) if m.group(1) is not None]
     rest = text[found[-1].end() if found else 0 :]
     return [m.group() for m in found] + ([rest] if rest.strip() else [])
 
