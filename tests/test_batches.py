@@ -9,6 +9,8 @@ import pytest
 
 from fieldspark.operators import segment
 from fieldspark.operators.batches import slices
+from fieldspark.plans.engine import call
+from fieldspark.plans.extractors import RuleExtractor
 
 SIZE = 1 << 15
 
@@ -61,3 +63,10 @@ def test_chunks_of_many_texts(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a")], "id long, text string")
     mb, rows = most_mb(kernel(monkeypatch, df, lambda d: segment.pack(d, ["id"], size=1000)), [*range(400)], ["abcd efg. " * 2500] * 400, [1000] * 400)
     assert rows == 400 * 26 and mb < 8  # the texts alone have 10 MB, and their chunks too
+
+
+def test_calls_of_many_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a")], "id long, text string")
+    schema = {"type": "object", "properties": {"email": {"type": "string"}}}
+    mb, rows = most_mb(kernel(monkeypatch, df, lambda d: call(d, ["id"], RuleExtractor(), schema)), [*range(400)], ["abcd efg. " * 2500] * 400, ["Go."] * 400, [None] * 400)
+    assert rows == 400 and mb < 5  # the texts alone have 10 MB
