@@ -59,18 +59,19 @@ def call(df: DataFrame, keys: list[str], extractor: Extractor, schema: S.Schema,
     plain = df.select(*keys, F.col(text).cast("string").alias("_text"), (F.col(prompt_column) if prompt_column else F.lit(prompt)).alias("_prompt"), wanted.alias("_paths"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(keys)])
 
-    parts: dict[tuple, S.Schema] = {}
+    parts: dict[tuple | None, tuple[S.Schema, Callable]] = {}
 
-    def part(paths: list[str] | None) -> S.Schema:
-        if paths is None:
-            return schema
-        if (key := tuple(paths)) not in parts:
-            parts[key] = S.focused(schema, paths)
+    def part(paths: list[str] | None) -> tuple[S.Schema, Callable]:
+        """What is asked for at these paths, and its check; both are made once in a task."""
+        if (key := None if paths is None else tuple(paths)) not in parts:
+            wanted = schema if paths is None else S.focused(schema, paths)
+            parts[key] = wanted, compiled(wanted)
         return parts[key]
 
     def one(text: str, request: str, paths: list[str] | None) -> tuple:
         try:
-            a = ask(extractor, text or "", part(paths), request, config)
+            wanted, check = part(paths)
+            a = ask(extractor, text or "", wanted, request, config, check=check)
             return (json.dumps(a.data, ensure_ascii=False, default=str), *[a.usage.get(k, 0) for k in _SUMS], a.attempts, a.rounds, a.warnings, None)
         except Exception as e:
             if config.fail_fast:
