@@ -21,7 +21,8 @@ def missing_fields(record: Column, leaves: list[str], countable: list[str] | Non
     none = F.array().cast("array<string>")
     if not leaves:
         return none
-    gone = bound(record, lambda r: F.filter(F.array(*[F.when(empty_placeholder(value_at(r, p)), F.lit(p)) for p in leaves]), lambda p: p.isNotNull()))
+    rows = bound(record, lambda r: F.array(*[F.struct(F.lit(p).alias("path"), value_at(r, p).alias("value")) for p in leaves]))  # each looked up once
+    gone = F.transform(F.filter(rows, lambda x: empty_placeholder(x["value"])), lambda x: x["path"])
     return bound(gone, lambda g: F.when(F.size(g) / F.lit(len(countable or leaves)) > threshold, g).otherwise(none))
 
 

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldspark.functions.paths import bound
+
 SYSTEM = "Fill in the fields of the given schema from the documents. Use only what they say, copy values as written, and leave a field null if nothing is said about it."
 IMPROVE = "Below are results of an extraction. Name fields that often turn up under extra and belong in the schema, and reword the request so that fields which stay empty are found."
 SHOWN_FIELDS, SHOWN_CHARS = 15, 50
@@ -66,11 +68,15 @@ def known_fields(found: Column) -> Column:
 
 def focused_request(found: Column, missing: Column, user: str) -> Column:
     """``focused_prompt`` for each row, of its array of structs (path, value) and its missing paths."""
-    return F.concat_ws("\n", F.lit("Known so far:"), F.when(F.size(found) > 0, known_fields(found)), F.lit("Still missing:"), missing_by_section(missing), F.lit("Give only the missing fields.\n\n" + user))
+    known = bound(found, lambda f: F.when(F.size(f) > 0, known_fields(f)))
+    return F.concat_ws("\n", F.lit("Known so far:"), known, F.lit("Still missing:"), missing_by_section(missing), F.lit("Give only the missing fields.\n\n" + user))
 
 
 def missing_by_section(missing: Column) -> Column:
     """``focused_prompt``'s list of gaps as one string: section, then its paths in order, for each section in order."""
-    heads = F.array_sort(F.array_distinct(F.transform(missing, lambda p: F.split_part(p, F.lit("."), F.lit(1)))))
-    line = lambda h: F.concat(F.lit("- "), h, F.lit(": "), F.array_join(F.array_sort(F.filter(missing, lambda p: F.split_part(p, F.lit("."), F.lit(1)) == h)), ", "))
-    return F.array_join(F.transform(heads, line), "\n")
+
+    def lines(gone: Column) -> Column:
+        heads = F.array_sort(F.array_distinct(F.transform(gone, lambda p: F.split_part(p, F.lit("."), F.lit(1)))))
+        return F.transform(heads, lambda h: F.concat(F.lit("- "), h, F.lit(": "), F.array_join(F.array_sort(F.filter(gone, lambda p: F.split_part(p, F.lit("."), F.lit(1)) == h)), ", ")))
+
+    return F.array_join(bound(missing, lines), "\n")

@@ -33,7 +33,8 @@ _CUSTOMER_SQL = f"SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 3 = 0
 
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
     """(c_custkey, record): records as VARIANT, with placeholders and gaps."""
-    c = table(spark, sf, "customer")
+    # rows of few bytes, of which much is made: a file of them is one partition, which would keep one core busy
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     phone = F.get(F.array(*[F.lit(p) for p in _PHONES]), (F.col("c_custkey") % 6).cast("int"))
     contact = F.when(F.col("c_custkey") % 4 != 0, F.struct(phone.alias("phone")))
     record = F.struct(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, "Pending").otherwise(F.col("c_mktsegment")).alias("segment"), contact.alias("contact"), F.struct(F.col("c_acctbal").alias("balance")).alias("account"))

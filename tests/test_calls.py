@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from test_batches import kernel
 
+from fieldspark import catalog
 from fieldspark.plans import engine, extractors
 from fieldspark.plans.config import Config
 from fieldspark.plans.extractors import CallableExtractor, ask
@@ -44,3 +45,8 @@ def test_schemas_are_compiled_once(spark, monkeypatch):
     answers = [x for out in run(iter([batch])) for x in out.column(1).to_pylist()]
     assert answers == ['{"a": "x"}', '{"b": "x"}', '{"a": "x", "b": "x"}', '{"a": "x", "b": "x"}'] * 10
     assert len(made[0]) + len(made[1]) == 4
+
+
+def test_requests_look_up_each_field_once(spark):
+    plan = catalog.queries()["prompt_known"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") == 12  # six leaves, once for what is known and once for what is missing
